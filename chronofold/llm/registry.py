@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .best_fit_packing import best_fit_packing
 from .common import table
 from .exact_dedup import exact_dedup
+from .simhash_dedup import simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +18,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_best_fit_packing, op9_exact_dedup]
+    found = [op2_best_fit_packing, op3_simhash_dedup, op9_exact_dedup]
     return {f.__name__: f for f in found}
 
 
