@@ -12,6 +12,8 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .quality import quality_classifier
 from .simhash_dedup import simhash_dedup
+from .warc import warc_round_trip
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +34,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op9_exact_dedup]
+    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op8_warc, op9_exact_dedup]
     return {f.__name__: f for f in found}
 
 
