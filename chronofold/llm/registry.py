@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .packed_ids import pack_and_read
+from .phrase_dedup import phrase_dedup
 from .quality import quality_classifier
 from .simhash_dedup import simhash_dedup
 from .warc import warc_round_trip
@@ -36,6 +37,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -56,7 +61,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup]
+    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup]
     return {f.__name__: f for f in found}
 
 
