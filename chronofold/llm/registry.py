@@ -15,6 +15,7 @@ from .packed_ids import pack_and_read
 from .phrase_dedup import phrase_dedup
 from .quality import quality_classifier
 from .simhash_dedup import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .warc import warc_round_trip
 
 
@@ -60,8 +61,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup]
+    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
