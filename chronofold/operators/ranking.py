@@ -23,7 +23,7 @@ def with_items(predictions: DataFrame, items: DataFrame) -> DataFrame:
         return predictions.join(F.broadcast(items), F.lit(True))
     blocks = -(-n // MAX_BROADCAST_ITEMS)
     dealt = items.withColumn("_block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    spread = predictions.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    spread = predictions.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return spread.join(dealt, "_block").drop("_block")
 
 
