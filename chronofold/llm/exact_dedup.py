@@ -176,7 +176,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = apart.groupBy("key", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         groups = index.join(own, "key", "left_anti").select("key", F.lit(None).cast("binary").alias("sha"), "keep_id", "group_size").unionByName(own)
         digests = digests.join(own.select("key").distinct().withColumn("apart", F.lit(True)), "key", "left")
-        digests = digests.withColumn("of", F.when("apart", F.col("sha")).otherwise(F.lit(b"")))
+        digests = digests.withColumn("of", F.when(F.col("apart"), F.col("sha")).otherwise(F.lit(b"")))
         groups = groups.select("key", F.coalesce("sha", F.lit(b"")).alias("of"), "keep_id", "group_size")
         rows = digests.join(groups, ["key", "of"])
     else:

@@ -10,8 +10,9 @@ pair of strings has been in one order.
 Orders come from rank doubling: ranks of eight bytes, then of twice as many from pairs of ranks, up to the width. They
 are exact; no hash decides whether strings agree.
 
-At scale: copies of a context are one row with a count; a shard holds a bounded number of contexts of each anchor, and
-an anchor with more has its strings counted one by one, by a digest of 16 bytes, with partial sums before the shuffle.
+At scale: copies of a context are one row with a count; a shard holds a bounded number of contexts of each anchor. The
+contexts of a more common anchor are divided by the offset at which their strings hold it and by the bytes that these
+strings must share, again and again: what agrees becomes one row, what agrees with nothing is left behind.
 Ranges come back to documents over a join with one row a context, which adaptive execution can split.
 
 Edge cases: a null text is empty; texts shorter than a string lose nothing; rows that repeat an id and a text are
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import id_back, partitions, stored
 from .repeats import Windows, anchor_bits, cut_out, distinct_contexts, gone, keyed, occurrences, repeated_anchors, split_hot
+from .windows import grams
 
 GRAM = 64
 BATCH_BYTES = 1 << 21
@@ -39,7 +41,7 @@ MARKS_ARROW = pa.schema([("context", pa.binary()), ("cuts", pa.list_(pa.struct([
 
 
 def name_of(context: bytes) -> bytes:
-    """A context's digest, by which its ranges find their way back."""
+    """The digest of a context and its anchor's place, by which its ranges find their way back."""
     return hashlib.blake2b(context, digest_size=16).digest()
 
 
@@ -139,36 +141,86 @@ def _marks(names: list[bytes], ranges: list[list[tuple[int, int]]]) -> pa.Table:
     return pa.table([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], MARKS_ARROW[1].type)], schema=MARKS_ARROW)
 
 
-def marked_contexts(contexts: DataFrame, width: int, shards: int) -> DataFrame:
-    """(context, cuts): the digest of each context with repeated strings, and their ranges."""
+CONTEXT = "anchor long, context binary, n long, at int, low int, high int"
+LINK = "parent binary, child binary, shift long, " + CONTEXT
+CONTEXT_ARROW = [("anchor", pa.int64()), ("context", pa.binary()), ("n", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]
+LINK_ARROW = pa.schema([("parent", pa.binary()), ("child", pa.binary()), ("shift", pa.int64()), *CONTEXT_ARROW])
+#: Parts that a range of offsets is divided into where an anchor is too common.
+PARTS = 8
+
+
+def _aligned(context: bytes, anchor: int, width: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """(place of the anchor, first start, last start): the strings of a context by the first anchor that each holds."""
+    hashes = grams(np.frombuffer(context, np.uint8), gram, "byte").view(np.int64)
+    before, last = -1, len(context) - width
+    for at in np.flatnonzero(hashes == anchor).tolist():
+        if before + 1 <= min(at, last):
+            yield at, max(before + 1, at - (width - gram)), min(at, last)
+        before = at
+
+
+def divided(hot: DataFrame, width: int, gram: int) -> DataFrame:
+    """Pieces of contexts whose anchor is too common: (parent, child, shift) and the child as a context of its own.
+
+    Equal strings hold the anchor at the same offset, so a range of offsets can be looked at by itself, and the bytes
+    that all strings of the range have in common must agree: their hash is the child's anchor. A range is divided again
+    and again, down to a single offset, where a child is one string.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, context, n, at, low, high in zip(*(batch.column(c).to_pylist() for c, _ in CONTEXT_ARROW), strict=True):
+                parent = name_of(context + at.to_bytes(4, "little", signed=True))
+                places = _aligned(context, anchor, width, gram) if at < 0 else [(at, at - high + 1, at - low)]
+                for place, first, last in places:
+                    step = -(-(high - low) // PARTS)
+                    for a in range(low, high, step):
+                        b = min(a + step, high)  # strings that start from place - b + 1 to place - a
+                        one, two = max(0, first, place - b + 1), min(last, place - a, len(context) - width)
+                        if one > two:
+                            continue
+                        core = context[place - a : place - b + 1 + width]
+                        key = int.from_bytes(hashlib.blake2b(core + b"%d %d %d" % (anchor, a, b), digest_size=8).digest(), "little", signed=True)
+                        child = context[one : two + width]
+                        rows.append((parent, name_of(child + (place - one).to_bytes(4, "little", signed=True)), one, key, child, n, place - one, a, b))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LINK_ARROW, strict=True)], schema=LINK_ARROW)
+
+    return hot.select("anchor", "context", "n", "at", "low", "high").mapInArrow(run, LINK)
+
+
+def marked_contexts(contexts: DataFrame, width: int, shards: int, gram: int) -> DataFrame:
+    """(context, cuts): the digest of each context with repeated strings, and their ranges.
+
+    contexts: anchor, context, n, at (the anchor's place, -1 if it is to be found), low and high (offsets it stands for).
+    """
 
     def find(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("anchor", "ascending"), ("context", "ascending")])
-        anchors, texts, counts = (rows.column(c).to_pylist() for c in ("anchor", "context", "n"))
-        alone = [(i == 0 or anchors[i - 1] != a) and (i + 1 == len(anchors) or anchors[i + 1] != a) and counts[i] > 1 for i, a in enumerate(anchors)]
-        names, ranges = [name_of(t) for t, x in zip(texts, alone, strict=True) if x], [[(0, len(t))] for t, x in zip(texts, alone, strict=True) if x]
-        rest = [i for i, x in enumerate(alone) if not x]  # contexts that share an anchor with others
+        anchors, texts, counts, places = (rows.column(c).to_pylist() for c in ("anchor", "context", "n", "at"))
+        alone = [(i == 0 or anchors[i - 1] != a) and (i + 1 == len(anchors) or anchors[i + 1] != a) for i, a in enumerate(anchors)]
+        name = [name_of(t + p.to_bytes(4, "little", signed=True)) for t, p in zip(texts, places, strict=True)]
+        sure = [i for i, x in enumerate(alone) if x and counts[i] > 1]
+        names, ranges = [name[i] for i in sure], [[(0, len(texts[i]))] for i in sure]
+        # contexts that share an anchor; one that is alone may still repeat a string within itself, but not a piece
+        rest = [i for i, x in enumerate(alone) if not x or (counts[i] == 1 and places[i] < 0)]
         if rest:
-            names += [name_of(texts[i]) for i in rest]
+            names += [name[i] for i in rest]
             ranges += repeated_ranges([texts[i] for i in rest], [counts[i] for i in rest], width)
         return _marks(names, ranges)
 
     few, hot = split_hot(contexts)
     out = few.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(find, MARKS)
     if hot is not None:
-
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for context, n in zip(batch.column("context").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                    found = [name_of(context[i : i + width]) for i in range(len(context) - width + 1)]
-                    columns = [pa.array([name_of(context)] * len(found), pa.binary()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary()), pa.array([n] * len(found), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["context", "a", "string", "n"])
-
-        strings = stored(hot.mapInArrow(explode, "context binary, a long, string binary, n long"), "hot-strings")
-        again = stored(strings.groupBy("string").agg(F.sum("n").alias("n")).filter("n > 1").select("string"), "hot-repeated")
-        cut = F.struct("a", (F.col("a") + width).alias("b"))
-        out = out.unionByName(strings.join(again, "string").groupBy("context").agg(F.collect_list(cut).alias("cuts")))
-    return out
+        links = stored(divided(hot, width, gram), "divided")
+        keys = ["anchor", "context", "at", "low", "high"]
+        pieces = stored(links.groupBy(*keys).agg(F.sum("n").alias("n")), "pieces")
+        below = marked_contexts(pieces, width, shards, gram).withColumnRenamed("context", "child")
+        cuts = links.select("parent", "child", "shift").join(below, "child").select("parent", "shift", F.explode("cuts").alias("c"))
+        moved = F.struct((F.col("shift") + F.col("c.a")).alias("a"), (F.col("shift") + F.col("c.b")).alias("b"))
+        out = out.unionByName(cuts.groupBy(F.col("parent").alias("context")).agg(F.collect_set(moved).alias("cuts")))
+    return stored(out, "marks")
 
 
 def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,9 +229,9 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     shards = 4 * partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     bits = anchor_bits(repeated_anchors(rows, spec))
-    contexts = stored(distinct_contexts(rows, spec, bits), "contexts")
-    marks = stored(marked_contexts(contexts, width, shards), "marks")
-    places = occurrences(rows, spec, bits, name_of).drop("anchor").join(marks, "context")
+    found = distinct_contexts(rows, spec, bits).withColumns({"at": F.lit(-1), "low": F.lit(0), "high": F.lit(width - spec.gram + 1)})
+    marks = marked_contexts(stored(found, "contexts"), width, shards, spec.gram)
+    places = occurrences(rows, spec, bits, lambda c: name_of(c + b"\xff\xff\xff\xff")).drop("anchor").join(marks, "context")
     cuts = places.select("id", "h", "first", F.explode("cuts").alias("c"))
     ranges = stored(cuts.select("id", "h", (F.col("first") + F.col("c.a")).alias("a"), (F.col("first") + F.col("c.b")).alias("b")), "ranges")
 
