@@ -73,7 +73,7 @@ def test_close_links_find_every_component(spark, monkeypatch, members):
 
 
 def test_keep_one(spark):
-    base = " ".join(map(str, range(400)))
+    base = " ".join(map(str, range(2000)))
     rows = [(5, base, "p"), (3, base + " x", "q"), (3, base + " x", "o"), (9, "other words here", "r"), (7, None, "s"), (8, "", "t")]
     d = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     assert sorted(tuple(r) for r in simhash_dedup.keep_one(d).select("doc_id", "fp").collect()) == [(3, "o"), (7, "s"), (9, "r")]
