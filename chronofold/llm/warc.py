@@ -199,17 +199,18 @@ def reachable(pieces: DataFrame) -> DataFrame:
     found = pieces.join(splits, ["file", "block"]).withColumn("pos", F.col("base") + F.col("local")).withColumn("succ", F.coalesce(F.col("pos") + F.col("span"), F.lit(-1)))
     found = stored(found.drop("base", "size", "span"), "warc-candidates")
     records = found.filter("succ >= 0").select("file", "block", "pos", "succ")
+    # a row for each record, small on disk and large in memory: never to be broadcast, hence the hints
     jumps = stored(records.groupBy("file", "block").applyInArrow(_exits, "file string, pos long, leave long"), "warc-jumps")
     entries = stored(jumps.filter(F.col("pos") == len(MAGIC)).select("file", "pos"), "warc-entries")
     while True:
-        on = entries.join(jumps, ["file", "pos"]).select("file", F.col("leave").alias("pos"))
-        on = on.join(jumps.select("file", "pos"), ["file", "pos"], "left_semi").join(entries, ["file", "pos"], "left_anti").distinct()
+        on = entries.join(jumps.hint("merge"), ["file", "pos"]).select("file", F.col("leave").alias("pos"))
+        on = on.join(jumps.select("file", "pos").hint("merge"), ["file", "pos"], "left_semi").join(entries, ["file", "pos"], "left_anti").distinct()
         on = stored(on, "warc-reached")
         if on.isEmpty():
             break
         entries = stored(entries.unionByName(on), "warc-entries")
         onward = jumps.select("file", F.col("pos").alias("leave"), F.col("leave").alias("further"))
-        jumps = stored(jumps.join(onward, ["file", "leave"], "left").select("file", "pos", F.coalesce("further", "leave").alias("leave")), "warc-jumps")
+        jumps = stored(jumps.join(onward.hint("merge"), ["file", "leave"], "left").select("file", "pos", F.coalesce("further", "leave").alias("leave")), "warc-jumps")
     start = found.join(entries.withColumn("entry", F.lit(True)), ["file", "pos"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     schema = "file string, block long, local long, pos long, succ long, kind string, page long, refers long, bytes long, digest string, whole boolean, real boolean"
     return start.groupBy("file", "block").applyInArrow(_marked, schema)
