@@ -64,6 +64,10 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.buckets = np.zeros((1 << 16, 2 + len(PREFIXES)), np.int32)
 
     def __missing__(self, word: bytes) -> int:
@@ -88,7 +92,7 @@ def features(text: bytes, weights: np.ndarray | None = None) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     if len(_KNOWN) > WORDS_HELD:
-        _KNOWN.clear()
+        _KNOWN.forget()
     rows = np.fromiter(map(_KNOWN.__getitem__, words), np.int64, n)
     found = _KNOWN.buckets[rows]
     shapes, counts = np.unique(found[:, 0], return_counts=True)
@@ -206,6 +210,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", t
                 some = np.array([bool(t.strip()) for t in whole], bool)
                 new = [pa.array(x) for x in (scores, tails.sum(1), tails[:, 0], tails[:, 1], (tails[:, 1] >= KEEP_FROM) & some)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *ADDED])
+        _KNOWN.forget()  # a worker lives on and does other work next
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
     return docs.mapInArrow(run, schema)

@@ -8,8 +8,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Words that a Python worker remembers before it forgets all of them: about 150 MB.
-WORDS_HELD = 700_000
+#: Words that a Python worker remembers before it forgets all of them: about 90 MB.
+WORDS_HELD = 400_000
 #: Words that are encoded as one text.
 JOINED = 256
 #: Marks that end a plain word: with it they are two pieces for the tokenizer, whatever their number.
