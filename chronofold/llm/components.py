@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every linked node; label is the smallest node it can reach.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so paths shrink by
-    halves and rounds grow with the logarithm of the longest one. Labels are cut off from their lineage with
-    checkpoint() in each round. The joins have one label row a node, so a node with very many links is split by
+    halves and rounds grow with the logarithm of the longest one. Labels are written to a table in each round,
+    which cuts their lineage. The joins have one label row a node, so a node with very many links is split by
     adaptive execution; labels are summed up before they are shuffled.
     """
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    both = both.filter("node <> other").distinct().checkpoint()
-    labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")).checkpoint()
+    both = stored(both.filter("node <> other").distinct(), "links")
+    labels = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
         of_other = labels.select(F.col("node").alias("other"), "label")
         near = both.join(of_other, "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("lower")).checkpoint()
+        lower = stored(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("lower")), "lower")
         jump = lower.select(F.col("node").alias("lower"), F.col("lower").alias("next"))
-        found = lower.join(jump, "lower").select("node", "label", F.least("lower", "next").alias("new")).checkpoint()
+        found = stored(lower.join(jump, "lower").select("node", "label", F.least("lower", "next").alias("new")), "jumped")
         labels = found.select("node", F.col("new").alias("label"))
         if found.filter("new <> label").isEmpty():
             return labels
