@@ -16,8 +16,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     which cuts their lineage. The joins have one label row a node, so a node with very many links is split by
     adaptive execution; labels are summed up before they are shuffled.
     """
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    # links are evaluated once: if each direction came from its own evaluation, a link that the second one gives the
+    # other way round would be left with one direction
+    there, back = (F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ((a, b), (b, a)))
+    both = links.select(F.explode(F.array(there, back)).alias("_l")).select("_l.node", "_l.other")
     both = stored(both.filter("node <> other").distinct(), "links")
     labels = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:

@@ -171,6 +171,7 @@ def _compare(limit: int):
                 left.append(a)
                 right.append(b)
             a, b = (np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64) for v in (left, right))
+            a, b = np.minimum(a, b), np.maximum(a, b)  # rows of a cell come in any order, a link is the same in all of them
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run

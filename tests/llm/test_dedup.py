@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronofold.llm import exact_dedup, repeats, simhash_dedup, suffix_dedup
@@ -85,6 +86,35 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_of_links_that_turn_round(spark):
+    """Links whose direction differs from one evaluation to the next, as it may on several executors."""
+
+    def turned(batches):
+        for batch in batches:
+            rows = [random.SystemRandom().sample([r["a"], r["b"]], 2) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    links = spark.createDataFrame([(i, i + 1000) for i in range(200)], "a long, b long").mapInArrow(turned, "a long, b long")
+    got = {r["node"]: r["label"] for r in components(links).collect()}
+    assert got == {i + far: i for i in range(200) for far in (0, 1000)}
+
+
+@pytest.mark.parametrize("size", [20, 60])
+def test_links_do_not_depend_on_the_order_of_rows(size):
+    rnd = random.Random(7)
+    center = rnd.getrandbits(63)
+    fps = sorted({center ^ 1 << b for b in range(size)})
+    found = set()
+    for _ in range(5):
+        rnd.shuffle(fps)
+        columns = {"mask": [1] * size, "pattern": [1] * size, "cell": [0] * size, "side": [0] * size, "fp": fps}
+        batch = pa.RecordBatch.from_pydict(columns)
+        links = [tuple(r.values()) for out in simhash_dedup._compare(3)(iter([batch])) for r in out.to_pylist()]
+        assert all(a < b for a, b in links)
+        found.add(tuple(sorted(links)))
+    assert len(found) == 1
+
+
 def more_rows():
     rnd = random.Random(5)
     rows = list(brute.ODD_TEXTS)
