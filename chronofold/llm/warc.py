@@ -14,7 +14,7 @@ At scale: no payload is shuffled but those of pages that occur more than once (f
 those in pieces; a file may be of any size, and the rounds grow with the logarithm of the splits of a file.
 
 Edge cases: null html is an empty payload; a null id is written as such and comes back as null, as the smallest id; of
-repeated rows (same id, same payload) one is the response; control characters of a url become blanks; an empty table
+repeated rows (same id, same payload) one is the response, each keeps its url; control characters of a url become blanks; an empty table
 gives no records; other columns are ignored, whatever their names.
 """
 
@@ -80,9 +80,14 @@ def write_warc(
     first = F.col("page") == F.col("first")
     response = F.col("first").isNull()
     others = doubt.filter(response | ~first).withColumns({"kind": F.when(response, "response").otherwise("revisit"), "nth": F.lit(1)})
-    # one row for each page that others revisit; where it is repeated, the further rows revisit it as well
-    kept = doubt.filter(first).groupBy("page", "first").agg(F.min(F.struct("url", "html")).alias("row"), F.count("*").alias("times"))
-    kept = kept.select("page", "first", "row.url", "row.html", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
+    # the rows of the page that others revisit, with their own urls; where there are several, the further ones revisit
+    # the first. A page may be that of several payloads, hence the sha among the keys
+    own = ["page", "first", "sha"]
+    kept = doubt.filter(first).groupBy(*own, "url").agg(F.min("html").alias("html"), F.count("*").alias("times"))
+    before = Window.partitionBy(own).orderBy("url").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    nth = F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("times"))).alias("nth")
+    kept = kept.select("page", "first", "url", "html", nth)
     kept = kept.withColumn("kind", F.when(F.col("nth") == 1, "response").otherwise("revisit"))
     columns = ["page", "url", "html", "kind", "nth", "first"]
     every = alone.select(columns).unionByName(others.select(columns)).unionByName(kept.select(columns))

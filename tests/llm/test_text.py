@@ -225,3 +225,21 @@ def test_warc(spark, sf_dir, split):
         assert warc.warc_round_trip(pages.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(None, "u1", "A"), (None, "u2", "A"), (None, "u3", "B"), (None, "u4", "B")],
+        [(5, "u1", "A"), (3, "u2", "A"), (5, "u3", "B"), (4, "u4", "B")],
+        [(5, "u1", "A"), (5, "u1", "A"), (5, None, "A"), (5, "u2", "A"), (3, "u3", "A"), (5, "u4", None), (5, "u5", ""), (None, "u6", "")],
+    ],
+)
+def test_warc_page_of_several_payloads(spark, tmp_path, rows):
+    """A page id, or none, that is the largest of two groups of equal payloads: both are written, and every url."""
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    brute.same(warc.warc_round_trip(pages), brute.warc(rows))
+    warc.write_warc(pages, str(tmp_path / "out"))
+    written = b"".join(f.read_bytes() for f in (tmp_path / "out").glob("part-*"))
+    urls = [line[len(b"WARC-Target-URI: ") :].decode() for line in written.split(b"\r\n") if line.startswith(b"WARC-Target-URI: ")]
+    assert sorted(urls) == sorted(u or "" for _, u, _ in rows)
