@@ -15,7 +15,8 @@ At scale: one pass over the documents for each ``ITEMS_AT_ONCE`` items, no shuff
 broadcast, and its size is bounded by their number and ``ITEM_WORDS`` words each (longer items are searched in parts).
 
 Edge cases: null or empty texts match nothing; items without words are ignored; items that share an id are searched
-apart and reported once; a part with fewer words than a shingle is one shingle; repeated documents give a row each;
+apart and reported once; items with a null id are searched like others, reported once with a null item_id, and their
+documents dropped; a part with fewer words than a shingle is one shingle; repeated documents give a row each;
 empty tables give an empty result; other columns are ignored, whatever their names.
 """
 
@@ -162,7 +163,7 @@ class ItemIndex:
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[ItemIndex]:
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).filter(f"`{item_col}` is not null").toLocalIterator()
+    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).toLocalIterator()
     while items := [(r[0], r[1]) for r in islice(rows, ITEMS_AT_ONCE)]:
         index = ItemIndex(items)
         if index.items:

@@ -156,6 +156,15 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d, bench.limit(0)).count() == 0 and decontaminate.find_leaks(d.limit(0), bench).count() == 0
 
 
+def test_items_without_id_leak(spark):
+    items = [(None, ITEMS[0][1]), (None, ITEMS[2][1]), (2, ITEMS[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"before {ITEMS[0][1]} between {ITEMS[2][1]} after"), (2, "nothing of it"), (3, ITEMS[1][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, bench).collect()} == {(1, None), (3, 2)}
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(d, bench).collect()] == [2]
+
+
 def test_search_loses_nothing(spark, sf_dir):
     """Every item that a brute look-up of shingles finds in one passage is retrieved."""
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
