@@ -1,6 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND by every passage.
 
-Documents are cut into overlapping passages so long that every item lies whole in one of them. A passage is a query:
+Documents are cut into overlapping passages of three times the longest item (of its batch), at a stride of one. So any
+2 x longest + 1 words lie whole in one of them: every item with at least as many further words, before or between its
+question and answer or inside them, as the longest item has. A passage is a query:
 items whose BM25 score reaches their threshold are retrieved, and then the shingles of the item's question and of its
 answer are looked for in the passage. A document leaks an item if at least ``OVERLAP`` of the shingles of both parts
 are in one passage.
@@ -102,7 +104,7 @@ class ItemIndex:
                 held[0].append(i)
                 held[1].append(x)
         self.most = self.block_max.max(1)
-        self.width, self.step = 2 * self.longest, self.longest
+        self.width, self.step = 3 * self.longest, self.longest
 
     def passages(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Term ids of each passage in rows, the text each is of, and the term ids of each text."""
@@ -112,8 +114,8 @@ class ItemIndex:
             words = words_of(text)
             found = np.fromiter(map(self.terms.get, words, repeat(v)), np.int32, len(words))
             ids.append(found)
-            n = max(1, -(-(len(found) - self.step) // self.step))
-            padded = np.full((n + 1) * self.step, v, np.int32)
+            n = max(1, -(-(len(found) - self.width + self.step) // self.step))
+            padded = np.full((n - 1) * self.step + self.width, v, np.int32)
             padded[: len(found)] = found
             rows.append(np.lib.stride_tricks.sliding_window_view(padded, self.width)[:: self.step])
             of.append(np.full(len(rows[-1]), i))

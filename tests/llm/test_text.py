@@ -165,6 +165,16 @@ def test_items_without_id_leak(spark):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(d, bench).collect()] == [2]
 
 
+@pytest.mark.parametrize("further", [5, 30, 40])
+def test_longest_item_with_words_between(further):
+    """At every offset, an item of the longest length with words between question and answer."""
+    question, answer = (" ".join(f"{c}{i}" for i in range(20)) for c in "qa")
+    index = decontaminate.ItemIndex([(1, f"{question}? {answer}."), (2, "Short one? Yes.")])
+    copy = f"{question} {' '.join(['between'] * further)} {answer}"
+    texts = [" ".join([*["w"] * offset, copy, *["w"] * after]) for offset in range(85) for after in (0, 100)]
+    assert [set(hits) for hits in index.search(texts)] == [{1}] * len(texts)
+
+
 def test_search_loses_nothing(spark, sf_dir):
     """Every item that a brute look-up of shingles finds in one passage is retrieved."""
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
