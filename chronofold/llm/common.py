@@ -96,6 +96,12 @@ def with_maybe(df: DataFrame, key: Column, bitmap: DataFrame, flag: str = "_mayb
     )
 
 
+def by_place(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named by their places, so that no name clashes, and the new names of some of them."""
+    plain = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(df.columns)])
+    return plain, [f"_{df.columns.index(c)}" for c in columns]
+
+
 def bit_table(rows, bits: int) -> np.ndarray:
     """The buckets of a bitmap table, put together for tasks that look bits up in numpy."""
     out = np.zeros(bits // 8, np.uint8)

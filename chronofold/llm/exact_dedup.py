@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_back, id_filter, id_of, partitions, stored, with_maybe
+from .common import NULL_ID, by_place, id_back, id_filter, id_of, partitions, stored, with_maybe
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Entries of a memtable before it is flushed.
@@ -200,11 +200,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other columns, of which the smallest stay."""
     found = stored(exact_dedup(docs, id_col, text_col), "exact-found")
     gone = found.filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_sha256")
-    marked = with_maybe(docs, id_of(id_col), id_filter(gone, "id"))
+    plain, (own_id, own_text) = by_place(docs, id_col, text_col)
+    marked = with_maybe(plain, id_of(own_id), id_filter(gone, "id"))
     safe = marked.filter("not _maybe").drop("_maybe")
     doubt = marked.filter("_maybe").drop("_maybe")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    doubt = doubt.select(row.alias("row"), id_of(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
+    row = F.struct(*plain.columns)
+    doubt = doubt.select(row.alias("row"), id_of(own_id).alias("id"), F.sha2(normalised(F.col(own_text)), 256).alias("text_sha256"))
     stays = found.filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_sha256")
     doubt = doubt.join(stays, ["id", "text_sha256"], "left_semi").groupBy("id", "text_sha256").agg(F.min("row").alias("row"))
-    return safe.unionByName(doubt.select("row.*"))
+    return safe.unionByName(doubt.select("row.*")).toDF(*docs.columns)

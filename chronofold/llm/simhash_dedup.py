@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_back, id_filter, id_of, partitions, stored, with_maybe
+from .common import NULL_ID, by_place, id_back, id_filter, id_of, partitions, stored, with_maybe
 from .components import components
 
 SEED = 42
@@ -279,8 +279,9 @@ def keep_one(docs: DataFrame, width: int = 3, limit: int = 3, id_col: str = "doc
     counted = ids.groupBy("id").agg(F.min("first_id").alias("first_id"), F.max("first_id").alias("last_id"), F.count("*").alias("n"))
     counted = stored(counted, "simhash-counted")
     doubt = counted.filter("id <> first_id or n > 1")
-    marked = with_maybe(docs, id_of(id_col), id_filter(doubt, "id"))
+    plain, (own_id,) = by_place(docs, id_col)
+    marked = with_maybe(plain, id_of(own_id), id_filter(doubt, "id"))
     safe = marked.filter("not _maybe").drop("_maybe")
-    rows = marked.filter("_maybe").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_of(id_col).alias("id"))
+    rows = marked.filter("_maybe").select(F.struct(*plain.columns).alias("row"), id_of(own_id).alias("id"))
     stays = rows.join(counted.filter("id = first_id").select("id"), "id", "left_semi")
-    return safe.unionByName(stays.groupBy("id").agg(F.min("row").alias("row")).select("row.*"))
+    return safe.unionByName(stays.groupBy("id").agg(F.min("row").alias("row")).select("row.*")).toDF(*docs.columns)

@@ -80,6 +80,14 @@ def test_keep_one(spark):
     assert sorted(tuple(r) for r in simhash_dedup.keep_one(d).select("doc_id", "fp").collect()) == [(3, "o"), (7, "s"), (9, "r")]
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first, simhash_dedup.keep_one])
+def test_other_columns_with_the_names_of_the_filter(spark, keep):
+    rows = [(1, "a b c d", 1, "p", b"x", True), (2, "a b c d", 2, "q", b"y", False), (3, "other words here now", 3, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _bucket long, _at string, _bits binary, _maybe boolean")
+    out = keep(d)
+    assert out.columns == d.columns and sorted((tuple(r) for r in out.collect()), key=str) == [rows[0], rows[2]]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(links).collect()}
