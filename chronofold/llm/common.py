@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 #: A null id sorts after every other id; operators work with this number and give null back.
 NULL_ID = 2**63 - 1
 
-#: Positions of an id filter. It holds 8 MB at most, whatever the number of ids.
-FILTER_BITS = 2**26
+#: Bits of a filter for each key as long as it stays small (16 MB), at least so many beyond that, and the most bits of
+#: one (128 MB). What would need more is joined by its hash instead.
+FILTER_BITS_PER_KEY, SMALL_FILTER_BITS, LEAST_BITS_PER_KEY, FILTER_BITS = 64, 2**27, 16, 2**30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +52,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Removes the files of a table made by stored() once nothing reads it any more."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes the files of tables made by stored() once nothing reads them any more."""
+    for df in tables:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(parent)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -70,27 +72,48 @@ def id_back(column: Column) -> Column:
     return F.when(column != NULL_ID, column)
 
 
-def _place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+def bits_for(keys: int) -> int | None:
+    """The size of a filter of so many keys: a power of two, a bucket of 2**15 at least. None: too many to broadcast."""
+    wanted = max(min(FILTER_BITS_PER_KEY * keys, SMALL_FILTER_BITS), LEAST_BITS_PER_KEY * keys)
+    bits = 1 << max(15, (wanted - 1).bit_length())
+    return bits if bits <= FILTER_BITS else None
 
 
-def id_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of hashed keys, 4 KB a bucket and FILTER_BITS in all: no false negatives, and a proven size."""
-    place = _place(F.col(key))
-    return keys.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")
-    )
+@dataclass(frozen=True)
+class KeyFilter:
+    """Hashes of keys: bits of a bitmap in buckets of 4 KB, or (bits is None) the distinct hashes themselves."""
+
+    table: DataFrame
+    bits: int | None
+
+
+def key_filter(keys: DataFrame, key: str) -> KeyFilter:
+    """A filter of one column without false negatives. Its keys are counted first: a bitmap that would pass FILTER_BITS is
+    not built."""
+    hashes = stored(keys.select(F.xxhash64(key).alias("_hash")), "filter-keys")
+    bits = bits_for(hashes.count())
+    if bits is None:
+        return KeyFilter(hashes.distinct(), None)
+    place = F.pmod("_hash", F.lit(bits)) + 1
+    held = hashes.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    return KeyFilter(held, bits)
+
 
+def with_maybe(df: DataFrame, key: Column, held: KeyFilter, flag: str = "_maybe") -> DataFrame:
+    """Adds a flag that is true for every key of the filter and for few others (one in 16 to 64).
 
-def with_maybe(df: DataFrame, key: Column, bitmap: DataFrame, flag: str = "_maybe") -> DataFrame:
-    """Adds a flag that is true for every key of the filter and for few others. Broadcasts 8 MB at most."""
-    place = _place(key)
-    bit = F.bitmap_bit_position(place)
+    A bitmap is broadcast, FILTER_BITS at most, and no row moves. Beyond that rows are joined with the distinct hashes
+    on both sides' eight bytes, so they are shuffled once, whole.
+    """
+    if held.bits is None:
+        there = held.table.withColumn(flag, F.lit(True))
+        return df.withColumn("_hash", F.xxhash64(key)).join(there, "_hash", "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_hash")
+    place = F.pmod(F.xxhash64(key), F.lit(held.bits)) + 1
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     return (
         df.withColumn("_bucket", F.bitmap_bucket_number(place))
-        .withColumn("_at", bit)
-        .join(F.broadcast(bitmap), "_bucket", "left")
+        .withColumn("_at", F.bitmap_bit_position(place))
+        .join(F.broadcast(held.table), "_bucket", "left")
         .withColumn(flag, F.coalesce(F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)))
         .drop("_bucket", "_at", "_bits")
     )

@@ -10,7 +10,7 @@ candidate. Each split follows its own chains first; then pointer jumping from th
 retains the reachable records only. Records whose payload holds a magic arrive in several pieces; these few are put
 together in a second scan.
 
-At scale: no payload is shuffled but those of pages that occur more than once (found by an id filter of fixed size) and
+At scale: no payload is shuffled but those of pages that occur more than once (found by a filter whose size is checked) and
 those in pieces; a file may be of any size, and the rounds grow with the logarithm of the splits of a file.
 
 Edge cases: null html is an empty payload; a null id is written as such and comes back as null, as the smallest id; of
@@ -24,6 +24,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import id_filter, new_path, stored, with_maybe
+from .common import key_filter, new_path, stored, with_maybe
 
 MAGIC = b"WARC/1.0\r\n"
 BREAK = "\r\n"
@@ -39,6 +40,8 @@ END = b"\r\n\r\n"
 #: Stands for a null id: before every other one.
 NO_ID = -(2**63)
 RECORDS_PER_FILE = 20_000
+#: Pieces of records that are handed on together.
+PIECES_AT_ONCE = 256
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -74,7 +77,7 @@ def write_warc(
     groups = digests.filter(F.col("size") >= revisit_from).groupBy("sha").agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = stored(groups, "warc-groups")
     members = digests.join(groups, "sha").select("page")
-    marked = with_maybe(rows, F.col("page"), id_filter(members, "page"))
+    marked = with_maybe(rows, F.col("page"), key_filter(members, "page"))
     alone = marked.filter("not _maybe").withColumns({"kind": F.lit("response"), "nth": F.lit(1), "first": F.lit(None).cast("long")})
     doubt = marked.filter("_maybe").withColumn("sha", F.unhex(whole)).join(groups, "sha", "left")
     first = F.col("page") == F.col("first")
@@ -244,11 +247,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         place = F.xxhash64("file", "block", "local")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in _located(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["file", "block", "local", "value"])
+            located = _located(batches)
+            while rows := list(islice(located, PIECES_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "block", "local", "value"])
 
         again = lines.mapInArrow(run, "file string, block long, local long, value binary").withColumn("_place", place)
-        again = with_maybe(again, F.col("_place"), id_filter(owned.withColumn("_place", place), "_place")).filter("_maybe")
+        again = with_maybe(again, F.col("_place"), key_filter(owned.withColumn("_place", place), "_place")).filter("_maybe")
         parts = again.join(owned, ["file", "block", "local"]).select("file", "owner", "pos", "value")
         out = out.unionByName(parts.groupBy("file", "owner").applyInArrow(_together, "kind string, page long, refers long, bytes long, digest string"))
     as_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
