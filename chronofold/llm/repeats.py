@@ -1,11 +1,12 @@
 """Where windows may repeat: the common first half of the two substring operators.
 
-1. Every document gives its anchors; anchors that occur at least twice go into a bitmap of fixed size.
+1. Every document gives its anchors; anchors that occur at least twice go into a bitmap sized by their number, 128 MB
+   at most. Beyond that it fills up and lets more contexts through, which costs shuffling and changes no result.
 2. A second scan keeps the windows whose anchor is in the bitmap and cuts them into contexts: the symbols of a run of
    windows with one anchor. Equal windows lie in contexts of one anchor, so an anchor is all that has to be brought
    together, and a context that many documents share is one row with a count.
 3. What is found to repeat comes back as ranges of documents and is cut out in a last scan; only documents with ranges
-   (found by an id filter of fixed size) are shuffled.
+   (found by a filter whose size is checked) are shuffled.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, id_filter, id_of, stored, with_maybe
+from .common import FILTER_BITS, bit_table, bits_for, id_of, key_filter, partitions, stored, with_maybe
 from .windows import Bytes, Words, grams, runs, sliding_min, window_anchors
 
-#: Positions of the anchor bitmap: 16 MB, collected and broadcast whatever the input.
-ANCHOR_BITS = 2**27
 #: Bytes of text that are looked at together.
 CHUNK_BYTES = 1 << 20
 #: Distinct contexts of one anchor that a task compares; windows of further ones are counted one by one.
 HOT_CONTEXTS = 1500
+#: Bytes of distinct contexts that one shard of anchors holds, more or less; no shard grows with the input.
+SHARD_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -90,17 +91,19 @@ def repeated_anchors(rows: DataFrame, spec: Windows) -> DataFrame:
 
 
 def anchor_bits(anchors: DataFrame):
-    """The bitmap of anchors as a broadcast array. Its size is fixed, so it may pass through the driver."""
-    place = F.pmod(F.col("anchor"), F.lit(ANCHOR_BITS)) + 1
+    """The bitmap of anchors as a broadcast array, FILTER_BITS at most, so it may pass through the driver. anchors should
+    be stored: they are counted first."""
+    bits = bits_for(anchors.count()) or FILTER_BITS
+    place = F.pmod(F.col("anchor"), F.lit(bits)) + 1
     found = anchors.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    return anchors.sparkSession.sparkContext.broadcast(bit_table(found.collect(), ANCHOR_BITS))
+    return anchors.sparkSession.sparkContext.broadcast(bit_table(found.collect(), bits))
 
 
 def _contexts(spec: Windows, bits: np.ndarray, texts: list[bytes]):
     """The symbols of some texts, and the first window, last window and anchor of each context."""
     symbols = spec.of(texts)
     anchors, inside = spec.anchors(symbols)
-    at = (anchors & np.uint64(ANCHOR_BITS - 1)).astype(np.int64)
+    at = (anchors & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     wanted = inside & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
     first, last = runs(anchors, wanted, symbols.doc[: len(anchors)], spec.longest_run)
     return symbols, first, last, anchors[first].view(np.int64)
@@ -139,6 +142,17 @@ def occurrences(rows: DataFrame, spec: Windows, bits, key: Callable[[bytes], byt
     return rows.mapInArrow(run, "id long, h long, first long, anchor long, context binary")
 
 
+def shards_for(contexts: DataFrame) -> int:
+    """How many shards the contexts need. contexts should be stored."""
+    size = contexts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0]
+    return max(partitions(contexts.sparkSession), -(-size // SHARD_BYTES))
+
+
+def dealt(rows: DataFrame, shards: int, *keys: str) -> DataFrame:
+    """Rows by shard, over partitions that hold two shards or so: as many as the bytes need."""
+    return rows.repartition(max(partitions(rows.sparkSession), shards // 2), *keys)
+
+
 def split_hot(contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Contexts of anchors with a bounded number of them, and the others if there are any."""
     hot = stored(contexts.groupBy("anchor").count().filter(F.col("count") > HOT_CONTEXTS).select("anchor"), "hot-anchors")
@@ -150,7 +164,7 @@ def split_hot(contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def cut_out(rows: DataFrame, ranges: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """cut(text, ranges) for every document. ranges: (id, h, a, b), symbols a to b - 1 go. ranges should be stored."""
     lists = ranges.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts"))
-    marked = with_maybe(rows.withColumn("_key", F.xxhash64("id", "h")), F.col("_key"), id_filter(ranges.withColumn("_key", F.xxhash64("id", "h")), "_key"))
+    marked = with_maybe(rows.withColumn("_key", F.xxhash64("id", "h")), F.col("_key"), key_filter(ranges.withColumn("_key", F.xxhash64("id", "h")), "_key"))
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     safe = marked.filter("not _maybe").select("id", "text", none.alias("cuts"))
     doubt = marked.filter("_maybe").join(lists, ["id", "h"], "left").select("id", "text", F.coalesce("cuts", none).alias("cuts"))

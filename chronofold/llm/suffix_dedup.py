@@ -1,18 +1,17 @@
 """Substring deduplication by a logarithmic family of suffix arrays.
 
 Every byte in a string of ``width`` bytes that occurs twice or more goes. Contexts that may hold such strings come from
-``repeats``; contexts of one anchor meet in one shard. There they arrive in batches: a new batch gets a suffix array of
-the starts of its strings, is merged with the array of a level that is already full, and the merged order is scanned
-for neighbours that agree in all ``width`` bytes; arrays of equal size merge, so a context is sorted again only as
-often as the number of batches doubles. At the end the levels that are left are merged from the smallest on, so every
-pair of strings has been in one order.
-
-Orders come from rank doubling: ranks of eight bytes, then of twice as many from pairs of ranks, up to the width. They
-are exact; no hash decides whether strings agree.
-
-At scale: copies of a context are one row with a count; a shard holds a bounded number of contexts of each anchor. The
-contexts of a more common anchor are divided by the offset at which their strings hold it and by the bytes that these
-strings must share, again and again: what agrees becomes one row, what agrees with nothing is left behind.
+``repeats``; contexts of one anchor meet in one shard. There they arrive in batches. A batch gets a suffix array of the
+starts of its strings, by rank doubling. It is merge-scanned against the array of every level that is full: each of its
+strings is looked up there, strings that agree in all ``width`` bytes are marked in both, and the two arrays become the
+array of the next level without being sorted again. So levels double, and a string is merged as often as the number of
+batches doubles. At the end the levels that are left are merged from the smallest on, so every two strings have met.
+Orders compare bytes; no hash decides whether strings agree.
+
+At scale: shards are as many as the measured bytes of contexts need, ``SHARD_BYTES`` each, and copies of a context are
+one row with a count (all its bytes repeat). A shard holds a bounded number of contexts of each anchor. The contexts of
+a more common anchor are divided by the offset at which their strings hold it and by the bytes that these strings must
+share, again and again, and the pieces go through suffix arrays like other contexts.
 Ranges come back to documents over a join with one row a context, which adaptive execution can split.
 
 Edge cases: a null text is empty; texts shorter than a string lose nothing; rows that repeat an id and a text are
@@ -30,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, partitions, stored
-from .repeats import Windows, anchor_bits, cut_out, distinct_contexts, gone, keyed, occurrences, repeated_anchors, split_hot
+from .common import id_back, stored
+from .repeats import Windows, anchor_bits, cut_out, dealt, distinct_contexts, gone, keyed, occurrences, repeated_anchors, shards_for, split_hot
 from .windows import grams
 
 GRAM = 64
-BATCH_BYTES = 1 << 21
+#: Bytes of contexts that get a suffix array of their own before it is merged.
+BATCH_BYTES = 1 << 18
 MARKS = "context binary, cuts array<struct<a:bigint,b:bigint>>"
 MARKS_ARROW = pa.schema([("context", pa.binary()), ("cuts", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 
@@ -47,92 +47,148 @@ def name_of(context: bytes) -> bytes:
 
 def _ranked(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
-    ranks = np.empty(len(keys), np.int64)
-    ranks[order] = np.cumsum(np.r_[False, keys[order[1:]] != keys[order[:-1]]])
+    ranks = np.empty(len(keys), np.int32)
+    ranks[order] = np.cumsum(np.r_[False, keys[order[1:]] != keys[order[:-1]]], dtype=np.int32)
     return ranks
 
 
+def words_at(data: np.ndarray, size: int) -> np.ndarray:
+    """The size bytes (8 at most) from every place of data as one number; behind its end stand zeros. A view: a number
+    is put together where it is looked up."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data),), ">u8" if size == 8 else f">u{size}", padded.data, strides=(1,)) if size in (1, 2, 4, 8) else _odd_words(padded, size)
+
+
+def _odd_words(padded: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(padded) - 8, np.uint64)
+    for i in range(size):
+        out = out << np.uint64(8) | padded[i : i + len(out)]
+    return out
+
+
 def suffix_array(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts in the order of the width bytes that follow, and whether each agrees in all of them with the one before.
 
-    All strings must end within data.
+    All strings must end within data, which is far shorter than 2**31 bytes.
     """
     size = min(8, width)
-    padded = np.concatenate((data, np.zeros(width, np.uint8))).astype(np.uint64)
-    keys = np.zeros(len(data), np.uint64)
-    for i in range(size):
-        keys = keys << np.uint64(8) | padded[i : i + len(data)]
-    ranks = _ranked(keys)
+    ranks = _ranked(words_at(data, size).astype(np.uint64))
+    many = np.int64(len(data) + 1)
     while 2 * size <= width:
-        ranks = _ranked(ranks * (len(data) + 1) + np.concatenate((ranks[size:], np.zeros(min(size, len(data)), np.int64))))
+        keys = ranks * many
+        keys[: len(data) - size] += ranks[size:]
+        ranks = _ranked(keys)
         size *= 2
-    keys = ranks[starts] * (len(data) + 1) + ranks[starts + width - size]
+    keys = ranks[starts] * many + ranks[starts + width - size]
     order = np.argsort(keys, kind="stable")
     return starts[order], np.r_[False, keys[order[1:]] == keys[order[:-1]]] if len(starts) else np.zeros(0, bool)
 
 
 class SuffixFamily:
-    """Levels of contexts whose suffix arrays double in size. ``found`` has a flag for each start of each context."""
+    """Suffix arrays over the contexts of a shard, each level twice as large as the one before it.
 
-    def __init__(self, contexts: list[bytes], width: int):
-        self.contexts, self.width = contexts, width
-        self.found = [np.zeros(max(0, len(c) - width + 1), bool) for c in contexts]
-        self.levels: list[list[int] | None] = []
+    A level is the starts of its strings in order, one start for each distinct string. ``found`` flags, for every byte
+    of the contexts, whether the string that starts there occurs again.
+    """
 
-    def add(self, batch: list[int]) -> None:
-        self._scan(batch)
+    def __init__(self, contexts: list[bytes], width: int):
+        self.data = np.frombuffer(b"".join(contexts), np.uint8)
+        self.edges = np.cumsum([0, *map(len, contexts)])
+        self.width, self.size = width, min(8, width)
+        self.words = words_at(self.data, self.size)
+        self.found = np.zeros(len(self.data), bool)
+        self.levels: list[np.ndarray | None] = []
+
+    def add(self, first: int, last: int) -> None:
+        """Contexts first to last - 1: their own suffix array, merged with every level that is full."""
+        batch = self._sorted(first, last)
         for level, held in enumerate(self.levels):
             if held is None:
                 self.levels[level] = batch
                 return
-            batch = held + batch
+            batch = self._merged(held, batch)
             self.levels[level] = None
-            self._scan(batch)
         self.levels.append(batch)
 
     def finish(self) -> None:
-        """Merges the levels that are left, the smallest first."""
-        batch: list[int] = []
+        """Merges the levels that are left, the smallest first, so every two strings have been in one merge."""
+        batch = None
         for held in self.levels:
             if held is not None:
-                if batch:
-                    self._scan(held + batch)
-                batch = held + batch
-        self.levels = [batch]
-
-    def _scan(self, members: list[int]) -> None:
-        """Sorts the strings of some contexts and marks those that agree with a neighbour."""
-        parts = [np.frombuffer(self.contexts[i], np.uint8) for i in members]
-        counts = np.array([len(self.found[i]) for i in members])
-        base = np.cumsum([0, *(len(p) for p in parts)])[:-1]
-        shift = np.cumsum(counts) - counts
-        starts = np.repeat(base - shift, counts) + np.arange(counts.sum())
-        order, same = suffix_array(np.concatenate(parts), starts, self.width)
+                batch = held if batch is None else self._merged(held, batch)
+        self.levels = [] if batch is None else [batch]
+
+    def _sorted(self, first: int, last: int) -> np.ndarray:
+        base = self.edges[first]
+        lengths = np.diff(self.edges[first : last + 1])
+        counts = np.maximum(0, lengths - self.width + 1)
+        shift = self.edges[first:last] - base - (np.cumsum(counts) - counts)
+        starts = np.repeat(shift, counts) + np.arange(counts.sum())
+        order, same = suffix_array(self.data[base : self.edges[last]], starts, self.width)
         hit = same | np.r_[same[1:], False] if len(same) else same
-        on = np.zeros(int(base[-1]) + len(parts[-1]), bool)
-        on[order[hit]] = True
-        for i, b, n in zip(members, base.tolist(), counts.tolist(), strict=True):
-            self.found[i] |= on[b : b + n]
+        self.found[base + order[hit]] = True
+        return base + order[~same]
+
+    def _merged(self, held: np.ndarray, batch: np.ndarray) -> np.ndarray:
+        """Both arrays as one, in order. A string of both is marked in both; it stays once."""
+        at, low_end = (np.searchsorted(self._first(held), self._first(batch), side) for side in ("left", "right"))
+        open_ = np.flatnonzero(at < low_end)  # strings whose first word is in held: their place is searched for
+        low, high = at[open_], low_end[open_]
+        while len(busy := np.flatnonzero(low < high)):
+            middle = (low[busy] + high[busy]) // 2
+            less = self._compared(held[middle], batch[open_[busy]]) < 0
+            low[busy] = np.where(less, middle + 1, low[busy])
+            high[busy] = np.where(less, high[busy], middle)
+        at[open_] = low
+        again = open_[low < low_end[open_]]
+        again = again[self._compared(held[at[again]], batch[again]) == 0]
+        self.found[batch[again]] = True
+        self.found[held[at[again]]] = True
+        new = np.ones(len(batch), bool)
+        new[again] = False
+        places = at[new] + np.arange(int(new.sum()))
+        out = np.empty(len(held) + len(places), np.int64)
+        own = np.ones(len(out), bool)
+        own[places] = False
+        out[places], out[own] = batch[new], held
+        return out
+
+    def _first(self, starts: np.ndarray) -> np.ndarray:
+        return self.words[starts].astype(np.uint64)
+
+    def _compared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 for each two strings, word by word as long as they agree."""
+        out = np.zeros(len(a), np.int8)
+        left = np.arange(len(a))
+        for k in (*range(0, self.width - self.size, self.size), self.width - self.size):
+            x, y = self._first(a[left] + k), self._first(b[left] + k)
+            apart = x != y
+            out[left[apart]] = np.where(x[apart] < y[apart], -1, 1)
+            left = left[~apart]
+            if not len(left):
+                break
+        return out
 
 
 def repeated_ranges(contexts: list[bytes], counts: list[int], width: int) -> list[list[tuple[int, int]]]:
     """Of each distinct context, the ranges of bytes that lie in repeated strings."""
     family = SuffixFamily(contexts, width)
-    batch, size = [], 0
+    first, size = 0, 0
     for i, c in enumerate(contexts):
-        batch.append(i)
         size += len(c)
         if size >= BATCH_BYTES or i == len(contexts) - 1:
-            family.add(batch)
-            batch, size = [], 0
+            family.add(first, i + 1)
+            first, size = i + 1, 0
     family.finish()
     out = []
-    for c, n, on in zip(contexts, counts, family.found, strict=True):
-        if n > 1:
-            out.append([(0, len(c))])
+    for i, n in enumerate(counts):
+        a, b = family.edges[i : i + 2].tolist()
+        if n > 1:  # the context as a whole occurs again
+            out.append([(0, b - a)])
             continue
+        on = family.found[a:b]
         edges = np.flatnonzero(np.diff(np.r_[False, on, False])).reshape(-1, 2)
-        out.append([(a, b + width - 1) for a, b in edges.tolist()])
+        out.append([(x, y + width - 1) for x, y in edges.tolist()])
     return out
 
 
@@ -190,10 +246,10 @@ def divided(hot: DataFrame, width: int, gram: int) -> DataFrame:
     return hot.select("anchor", "context", "n", "at", "low", "high").mapInArrow(run, LINK)
 
 
-def marked_contexts(contexts: DataFrame, width: int, shards: int, gram: int) -> DataFrame:
+def marked_contexts(contexts: DataFrame, width: int, gram: int) -> DataFrame:
     """(context, cuts): the digest of each context with repeated strings, and their ranges.
 
-    contexts: anchor, context, n, at (the anchor's place, -1 if it is to be found), low and high (offsets it stands for).
+    contexts (stored): anchor, context, n, at (the anchor's place, -1 if it is to be found), low and high (offsets it stands for).
     """
 
     def find(rows: pa.Table) -> pa.Table:
@@ -211,12 +267,13 @@ def marked_contexts(contexts: DataFrame, width: int, shards: int, gram: int) ->
         return _marks(names, ranges)
 
     few, hot = split_hot(contexts)
-    out = few.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(find, MARKS)
+    shards = shards_for(contexts)
+    out = dealt(few.withColumn("shard", F.pmod("anchor", F.lit(shards))), shards, "shard").groupBy("shard").applyInArrow(find, MARKS)
     if hot is not None:
         links = stored(divided(hot, width, gram), "divided")
         keys = ["anchor", "context", "at", "low", "high"]
         pieces = stored(links.groupBy(*keys).agg(F.sum("n").alias("n")), "pieces")
-        below = marked_contexts(pieces, width, shards, gram).withColumnRenamed("context", "child")
+        below = marked_contexts(pieces, width, gram).withColumnRenamed("context", "child")
         cuts = links.select("parent", "child", "shift").join(below, "child").select("parent", "shift", F.explode("cuts").alias("c"))
         moved = F.struct((F.col("shift") + F.col("c.a")).alias("a"), (F.col("shift") + F.col("c.b")).alias("b"))
         out = out.unionByName(cuts.groupBy(F.col("parent").alias("context")).agg(F.collect_set(moved).alias("cuts")))
@@ -226,11 +283,10 @@ def marked_contexts(contexts: DataFrame, width: int, shards: int, gram: int) ->
 def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spec = Windows("byte", width, min(GRAM, width))
-    shards = 4 * partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    bits = anchor_bits(repeated_anchors(rows, spec))
+    bits = anchor_bits(stored(repeated_anchors(rows, spec), "anchors"))
     found = distinct_contexts(rows, spec, bits).withColumns({"at": F.lit(-1), "low": F.lit(0), "high": F.lit(width - spec.gram + 1)})
-    marks = marked_contexts(stored(found, "contexts"), width, shards, spec.gram)
+    marks = marked_contexts(stored(found, "contexts"), width, spec.gram)
     places = occurrences(rows, spec, bits, lambda c: name_of(c + b"\xff\xff\xff\xff")).drop("anchor").join(marks, "context")
     cuts = places.select("id", "h", "first", F.explode("cuts").alias("c"))
     ranges = stored(cuts.select("id", "h", (F.col("first") + F.col("c.a")).alias("a"), (F.col("first") + F.col("c.b")).alias("b")), "ranges")
