@@ -1,16 +1,19 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints that differ in few bits are found below nodes of shared masked bit patterns. A node is (mask, pattern):
-all fingerprints with pattern under mask. The 64 bits are divided in four; two fingerprints that differ in three bits
-or fewer agree in at least one quarter, so they meet below one of its four nodes, with no difference so far. A node
-with too many members gets children that fix a quarter of its free bits as well. A child that is still too large is
-cut into groups of neighbours in Gray order; what all members of a group share (bits set in all, bits set in any) is
-its upper node, and two groups are compared only if the differences of what they share do not exceed the limit.
-Inside a task the same is done with small runs in Gray order before any two fingerprints are compared.
-
-At scale: exact copies are one fingerprint before anything is compared; a fingerprint is sent to 4 nodes, to 16 more
-only where a node is crowded. A task emits a spanning forest of what it links, never all pairs. Group sizes are
-bounded, and the crowded nodes of the first level are at most 4 x 2**16, so that their list may be broadcast.
+The upper nodes of the index are shared masked bit patterns: a node is (mask, pattern), all fingerprints with pattern
+under mask. The 64 bits are divided in four; two fingerprints that differ in three bits or fewer agree in at least one
+quarter, so they meet below one of its four nodes, with no difference so far. A node with too many members gets four
+children for each of its masks, that fix a quarter of the free bits as well, and so on.
+
+Below a node its members are sorted by Gray rank, and neighbours are grouped, eight to a group, eight groups to an upper
+group, up to the node. The bits that all members of a group share are its masked pattern. Two groups of a node are
+compared from the top down: differences in the bits that both have fixed add up on the way, bits that an upper group
+has fixed are not counted again, and two groups go, with all that is below them, once their differences pass the limit.
+
+At scale: exact copies are one fingerprint before anything is compared; a fingerprint is sent to 4 nodes, to 4 times as
+many only where a node is crowded. A task looks at a bounded number of pairs of groups at a time and emits a spanning
+forest of what it links, never all pairs. Joins with the list of crowded nodes are left to Spark, which broadcasts it
+only where its size allows.
 
 Edge cases: a text without words (null, empty) has fingerprint zero, linked like any other; fewer words than a shingle
 are one shingle; null ids sort last and come back as null; repeated rows give one row each; an empty table gives an
@@ -20,6 +23,7 @@ empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, by_place, id_back, id_filter, id_of, partitions, stored, with_maybe
+from .common import NULL_ID, by_place, id_back, id_of, key_filter, partitions, stored, with_maybe
 from .components import components
 
 SEED = 42
-#: Members of a node that one task compares; larger nodes are divided.
-NODE_MEMBERS = 1024
-#: Neighbours in Gray order that share a lowest node.
-RUN = 32
+#: Members of a node from which it is divided, and how often: below the last level 20 bits are free, so a node has
+#: 2**20 members at most.
+NODE_MEMBERS, LEVELS = 4096, 4
+#: Neighbours in Gray order that share an upper group.
+FAN = 8
+#: Pairs of groups that are looked at together.
+PAIRS_AT_ONCE = 1 << 14
 ALL = (1 << 64) - 1
 
 
@@ -87,92 +94,106 @@ def quarters(free: int) -> list[int]:
     return [sum(1 << i for i in bits[a : a + step]) for a in range(0, len(bits), step)]
 
 
-FIRST = quarters(ALL)
-#: First mask -> its children.
-SECOND = {m: [m | q for q in quarters(ALL & ~m)] for m in FIRST}
-
-
-def _sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits set in all and bits set in any member of each run of a sorted array."""
-    at = np.arange(0, len(x), RUN)
-    return np.bitwise_and.reduceat(x, at), np.bitwise_or.reduceat(x, at)
-
-
-def close_pairs(x: np.ndarray, y: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) with x[i] and y[j] within limit bits. Both are in Gray order; runs are pruned by what they share."""
-    x_all, x_any = _sides(x)
-    y_all, y_any = _sides(y)
-    apart = np.bitwise_count((x_all[:, None] & ~y_any[None, :]) | (~x_any[:, None] & y_all[None, :]))
-    for a, b in np.argwhere(apart <= limit).tolist():
-        i, j = a * RUN, b * RUN
-        near = np.bitwise_count(x[i : i + RUN, None] ^ y[None, j : j + RUN]) <= limit
-        p, q = np.nonzero(near)
-        if len(p):
-            yield p + i, q + j
-
-
-def forest(x: np.ndarray, y: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smaller member) that join what is close within x, or between x and y, as few as can be."""
-    nodes = x if y is None else np.concatenate((x, y))
-    shift = 0 if y is None else len(x)
-    root = np.arange(len(nodes))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for p, q in close_pairs(x, x if y is None else y, limit):
-        q = q + shift
-        changed = root[p] != root[q]
-        for i, j in zip(p[changed].tolist(), q[changed].tolist(), strict=True):
-            i, j = top(i), top(j)
-            if i != j:
-                root[max(i, j)] = min(i, j)
-    tops = np.array([top(i) for i in range(len(nodes))], np.int64)
-    moved = np.flatnonzero(tops != np.arange(len(nodes)))
-    return nodes[moved], nodes[tops[moved]]
+class GrayTree:
+    """Fingerprints of some nodes in Gray order, in groups of ``FAN`` neighbours, those in groups of as many, and so on
+    up to one group a node. What all members of a group share is its masked pattern: fixed bits, and their values."""
+
+    def __init__(self, fps: np.ndarray, node: np.ndarray):
+        """node: ascending numbers; within a node fingerprints are in Gray order."""
+        self.fixed = [np.full(len(fps), ALL, np.uint64)]
+        self.values = [fps]
+        self.first: list[np.ndarray] = []  # of each group of a level, its first member one level below
+        while len(node) and (node[1:] == node[:-1]).any():
+            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            within = np.arange(len(node)) - np.repeat(starts, np.diff(np.r_[starts, len(node)]))
+            at = np.flatnonzero(within % FAN == 0)
+            every = np.bitwise_and.reduceat(self.values[-1], at)
+            some = np.bitwise_or.reduceat(self.values[-1] | ~self.fixed[-1], at)
+            every &= np.bitwise_and.reduceat(self.fixed[-1], at)
+            self.fixed.append(np.bitwise_and.reduceat(self.fixed[-1], at) & (every | ~some))
+            self.values.append(every & self.fixed[-1])
+            self.first.append(np.r_[at, len(node)])
+            node = node[at]
+
+    def close_pairs(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j), i < j, of members of one node within limit bits, some thousand at a time.
+
+        From the top down: the differences of two groups are those that their upper groups have already, and those in
+        the bits that only they themselves have fixed; pairs of groups are dropped as soon as they exceed the limit.
+        """
+        top = len(self.first)
+        roots = np.arange(len(self.values[top]))
+        open_ = [(top, roots, roots, self.fixed[top], np.zeros(len(roots), np.int64))]
+        while open_:
+            level, a, b, known, apart = open_.pop()
+            if level == 0:
+                yield a, b
+                continue
+            if len(a) > PAIRS_AT_ONCE:
+                open_ += [(level, *(x[k : k + PAIRS_AT_ONCE] for x in (a, b, known, apart))) for k in range(0, len(a), PAIRS_AT_ONCE)]
+                continue
+            first = self.first[level - 1]
+            wide = first[a + 1] - first[a]
+            count = wide * (first[b + 1] - first[b])
+            of = np.repeat(np.arange(len(a)), count)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            i, j = first[a][of] + nth % wide[of], first[b][of] + nth // wide[of]
+            keep = (i < j) | ((i == j) & (level > 1))
+            i, j, of = i[keep], j[keep], of[keep]
+            both = self.fixed[level - 1][i] & self.fixed[level - 1][j]
+            new = (self.values[level - 1][i] ^ self.values[level - 1][j]) & both & ~known[of]
+            total = apart[of] + np.bitwise_count(new)
+            near = total <= limit
+            if near.any():
+                open_.append((level - 1, i[near], j[near], both[near], total[near]))
+
+
+def hook(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Joins the sets of p and q, pair by pair; root points at the smallest place of each set."""
+    while len(p):
+        x, y = root[p], root[q]
+        p, q = x[x != y], y[x != y]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def forest(fps: np.ndarray, node: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, first member) that join what is close within each node, as few as can be."""
+    root = np.arange(len(fps))
+    for p, q in GrayTree(fps, node).close_pairs(limit):
+        hook(root, p, q)
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[moved], fps[root[moved]]
 
 
 def _compare(limit: int):
-    """Tasks over rows (mask, pattern, cell, side, fp), all rows of a cell together and in order."""
+    """Tasks over rows (mask, pattern, fp), all rows of a node together and in order."""
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        held = None
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("mask", "pattern", "cell")])
-            part = (keys, batch.column("side").to_numpy(), batch.column("fp").to_numpy().astype(np.int64).view(np.uint64))
-            held = part if held is None else tuple(np.concatenate(p) for p in zip(held, part, strict=True))
-            keys = held[0]
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            if len(edges):  # the last cell may go on in the next batch
-                yield tuple(h[: edges[-1]] for h in held)
-                held = tuple(h[edges[-1] :] for h in held)
-        if held is not None and len(held[0]):
-            yield held
+            keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("mask", "pattern")])
+            held.append((keys, batch.column("fp").to_numpy().astype(np.int64).view(np.uint64)))
+            if len(keys) and (keys[-1] != held[0][0][0]).any():  # the last node may go on in the next batch
+                keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = np.flatnonzero((keys != keys[-1]).any(1))[-1] + 1
+                yield keys[:cut], fps[:cut]
+                held = [(keys[cut:], fps[cut:])]
+        if sum(len(fps) for _, fps in held):
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, side, fp in cells(batches):
-            edges = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
-            sizes = np.diff(edges)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            small = (sizes <= RUN)[of] & (side == 0)
-            left, right = [], []
-            for step in range(1, int(sizes[sizes <= RUN].max(initial=1))):  # small cells, all at once
-                a = np.flatnonzero(small[:-step] & (of[:-step] == of[step:]))
-                a = a[np.bitwise_count(fp[a] ^ fp[a + step]) <= limit]
-                left.append(fp[a])
-                right.append(fp[a + step])
-            for c in np.flatnonzero((sizes > RUN) | (np.add.reduceat(side, edges[:-1]) > 0)).tolist():
-                x, s = fp[edges[c] : edges[c + 1]], side[edges[c] : edges[c + 1]]
-                x, s = (v[np.argsort(gray_rank(x), kind="stable")] for v in (x, s))
-                a, b = forest(x, None, limit) if not s.any() else forest(x[s == 1], x[s == 2], limit)
-                left.append(a)
-                right.append(b)
-            a, b = (np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64) for v in (left, right))
-            a, b = np.minimum(a, b), np.maximum(a, b)  # rows of a cell come in any order, a link is the same in all of them
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for keys, fps in nodes(batches):
+            node = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)])
+            several = np.bincount(node)[node] > 1
+            node, fps = node[several], fps[several]
+            order = np.lexsort((gray_rank(fps), node))
+            a, b = (x.view(np.int64) for x in forest(fps[order], node[order], limit))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -184,77 +205,28 @@ def close_links(fps: DataFrame, limit: int = 3) -> DataFrame:
     """
     if limit > 3:
         raise ValueError("four nodes find differences of up to three bits")
-    spark = fps.sparkSession
-
-    def below(rows: DataFrame, masks: list[int]) -> DataFrame:
-        mask = F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")
-        return rows.select("fp", mask).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
-
     node = ["mask", "pattern"]
-    first = below(fps, FIRST)
-    crowded = stored(first.groupBy(node).count().filter(F.col("count") > NODE_MEMBERS), "crowded")  # 4 x 2**16 rows at most
-    cells = first.join(F.broadcast(crowded), node, "left_anti").select(*node, F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "fp")
-    if not crowded.isEmpty():
-        inner = first.join(F.broadcast(crowded), node, "left_semi").select(F.col("mask").alias("upper"), "fp")
-        children = [inner.filter(F.col("upper") == _signed(m)).select("fp") for m in FIRST]
-        second = below(children[0], SECOND[FIRST[0]])
-        for rows, m in zip(children[1:], FIRST[1:], strict=True):
-            second = second.unionByName(below(rows, SECOND[m]))
-        second = stored(second, "second-level")
-        counts = stored(second.groupBy(node).count(), "second-counts")
-        known = second.join(counts, node)
-        cells = cells.unionByName(
-            known.filter(F.col("count") <= NODE_MEMBERS).select(*node, F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "fp")
-        )
-        if not counts.filter(F.col("count") > NODE_MEMBERS).isEmpty():
-            cells = cells.unionByName(_group_cells(stored(known.filter(F.col("count") > NODE_MEMBERS), "third-level"), limit))
-    dealt = cells.repartition(partitions(spark), "mask", "pattern", "cell").sortWithinPartitions("mask", "pattern", "cell")
+    rows = fps.select(F.lit(0).cast("long").alias("mask"), "fp")
+    ready, masks = [], [0]
+    for level in range(LEVELS):
+        below = {m: [m | q for q in quarters(ALL & ~m)] for m in masks}
+        masks = [m for children in below.values() for m in children]
+        child = F.element_at(F.create_map(*[x for m, c in below.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in c]))]), F.col("mask"))
+        rows = rows.select("fp", F.explode(child).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+        if level == LEVELS - 1:
+            ready.append(rows)
+            break
+        crowded = stored(rows.groupBy(node).count().filter(F.col("count") > NODE_MEMBERS).select(node), "crowded")
+        if crowded.isEmpty():
+            ready.append(rows)
+            break
+        ready.append(rows.join(crowded, node, "left_anti"))
+        rows = stored(rows.join(crowded, node, "left_semi").select("mask", "fp"), "next-level")
+    every = reduce(DataFrame.unionByName, [r.select(*node, "fp") for r in ready])
+    dealt = every.repartition(partitions(fps.sparkSession), *node).sortWithinPartitions(*node)
     return dealt.mapInArrow(_compare(limit), "a long, b long")
 
 
-def _gray_column(fp) -> F.Column:
-    """The Gray rank of a column, moved so that signed order is its order."""
-    for s in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
-    return fp.bitwiseXOR(F.lit(-(2**63)))
-
-
-def _group_cells(rows: DataFrame, limit: int) -> DataFrame:
-    """Cells of two groups each for nodes that are too large: groups are neighbours in Gray order."""
-    node = ["mask", "pattern"]
-    gray = rows.withColumn("rank", _gray_column(F.col("fp")))
-    groups = F.ceil(F.max("count") * 2 / NODE_MEMBERS).cast("int")
-    bounds = gray.groupBy(node).agg(
-        F.percentile_approx("rank", F.array(*[F.lit(i / 32) for i in range(1, 32)]), 1000).alias("cuts"), groups.alias("groups")
-    )
-    # nodes up to 16 x NODE_MEMBERS need no more than these 32 ranges; within a range, larger nodes deal by hash
-    extra = F.greatest(F.lit(1), F.ceil(F.col("groups") / 32)).cast("long")
-    placed = gray.join(bounds, node).withColumn(
-        "grp",
-        F.size(F.filter("cuts", lambda c: c < F.col("rank"))).cast("long") * extra + F.pmod(F.xxhash64("fp"), extra),
-    )
-    placed = stored(placed.select(*node, "grp", "fp"), "gray-groups")
-    shared = placed.groupBy(*node, "grp").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some"))
-    shared = stored(shared, "gray-nodes")
-    l, r = shared.alias("l"), shared.alias("r")
-    apart = F.bit_count(
-        F.col("l.every").bitwiseAND(F.bitwise_not("r.some")).bitwiseOR(F.col("r.every").bitwiseAND(F.bitwise_not("l.some")))
-    )
-    on = (F.col("l.mask") == F.col("r.mask")) & (F.col("l.pattern") == F.col("r.pattern")) & (F.col("l.grp") <= F.col("r.grp"))
-    pairs = l.join(r, on).filter(apart <= limit).select(
-        F.col("l.mask").alias("mask"), F.col("l.pattern").alias("pattern"), F.col("l.grp").alias("ga"), F.col("r.grp").alias("gb"),
-        F.xxhash64(F.col("l.grp"), F.col("r.grp")).alias("cell"),
-    )
-    same = F.col("ga") == F.col("gb")
-    sides = F.explode(
-        F.when(same, F.array(F.struct(F.col("ga").alias("grp"), F.lit(0).alias("side")))).otherwise(
-            F.array(F.struct(F.col("ga").alias("grp"), F.lit(1).alias("side")), F.struct(F.col("gb").alias("grp"), F.lit(2).alias("side")))
-        )
-    )
-    dealt = pairs.withColumn("_s", sides).select(*node, "cell", "_s.grp", "_s.side")
-    return dealt.join(placed, [*node, "grp"]).select(*node, "cell", "side", "fp")
-
-
 def simhash_dedup(docs: DataFrame, width: int = 3, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, fingerprint, component_id."""
     found = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
@@ -280,7 +252,7 @@ def keep_one(docs: DataFrame, width: int = 3, limit: int = 3, id_col: str = "doc
     counted = stored(counted, "simhash-counted")
     doubt = counted.filter("id <> first_id or n > 1")
     plain, (own_id,) = by_place(docs, id_col)
-    marked = with_maybe(plain, id_of(own_id), id_filter(doubt, "id"))
+    marked = with_maybe(plain, id_of(own_id), key_filter(doubt, "id"))
     safe = marked.filter("not _maybe").drop("_maybe")
     rows = marked.filter("_maybe").select(F.struct(*plain.columns).alias("row"), id_of(own_id).alias("id"))
     stays = rows.join(counted.filter("id = first_id").select("id"), "id", "left_semi")

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from chronofold.llm import exact_dedup, repeats, simhash_dedup, suffix_dedup
+from chronofold.llm import common, exact_dedup, repeats, simhash_dedup, suffix_dedup
+from chronofold.llm import phrase_dedup as phrase_dedup_module
 from chronofold.llm.components import components
 from chronofold.llm.phrase_dedup import WordAutomaton, phrase_dedup, recurring_passages
 from chronofold.llm.suffix_dedup import SuffixFamily, suffix_array
@@ -107,6 +108,38 @@ def test_components_of_links_that_turn_round(spark):
     assert got == {i + far: i for i in range(200) for far in (0, 1000)}
 
 
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_gray_tree_finds_every_component_of_every_node(batch, monkeypatch):
+    """Nodes of one to 700 members, dense and scattered, in batches that cut them anywhere."""
+    monkeypatch.setattr(simhash_dedup, "PAIRS_AT_ONCE", 50)
+    rnd = random.Random(batch)
+    rows, want = [], set()
+    for pattern, (size, spread) in enumerate([(1, 64), (2, 3), (9, 4), (64, 12), (700, 20), (65, 64), (300, 9)]):
+        base = rnd.getrandbits(64)
+        fps = sorted({base ^ sum(1 << b for b in rnd.sample(range(spread), rnd.randint(0, min(5, spread)))) for _ in range(size)})
+        rows += [(7, pattern, f - (1 << 64) if f >> 63 else f) for f in fps]
+        labels = brute.linked(fps)
+        want |= {frozenset(f for f in fps if labels[f] == k) for k in set(labels.values())}
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + batch])], names=["mask", "pattern", "fp"]) for i in range(0, len(rows), batch)]
+    links = [(r["a"] % 2**64, r["b"] % 2**64) for out in simhash_dedup._compare(3)(iter(batches)) for r in out.to_pylist()]
+    sets = {f % 2**64: {f % 2**64} for _, _, f in rows}
+    for a, b in links:
+        if sets[a] is not sets[b]:
+            sets[a] |= sets[b]
+            for f in sets[b]:
+                sets[f] = sets[a]
+    assert {frozenset(x) for x in sets.values()} == want
+
+
+def test_gray_tree_adds_up_what_direct_comparison_gives():
+    rnd = np.random.default_rng(3)
+    fps = rnd.integers(0, 2**12, 300).astype(np.uint64)
+    fps = np.unique(fps)
+    fps = fps[np.argsort(simhash_dedup.gray_rank(fps))]
+    found = {(int(i), int(j)) for p, q in simhash_dedup.GrayTree(fps, np.zeros(len(fps), int)).close_pairs(2) for i, j in zip(p, q)}
+    assert found == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2}
+
+
 @pytest.mark.parametrize("size", [20, 60])
 def test_links_do_not_depend_on_the_order_of_rows(size):
     rnd = random.Random(7)
@@ -115,7 +148,7 @@ def test_links_do_not_depend_on_the_order_of_rows(size):
     found = set()
     for _ in range(5):
         rnd.shuffle(fps)
-        columns = {"mask": [1] * size, "pattern": [1] * size, "cell": [0] * size, "side": [0] * size, "fp": fps}
+        columns = {"mask": [1] * size, "pattern": [1] * size, "fp": fps}
         batch = pa.RecordBatch.from_pydict(columns)
         links = [tuple(r.values()) for out in simhash_dedup._compare(3)(iter([batch])) for r in out.to_pylist()]
         assert all(a < b for a, b in links)
@@ -123,6 +156,32 @@ def test_links_do_not_depend_on_the_order_of_rows(size):
     assert len(found) == 1
 
 
+def test_word_codes_are_distinct_beyond_a_million_words():
+    places = [*range(3000), *range(1_100_000, 1_103_000), 60_000_000, 200_000_000]
+    codes = {WordAutomaton.code(n) for n in places}
+    assert len(codes) == len(places) and all(len(c) == 2 for c in codes)
+
+
+def test_filters_beyond_their_size_are_joins_with_equal_rows(spark, monkeypatch):
+    rows = [(i, f"text {i % 70}") for i in range(200)] + [(None, None), (7, "text 0")]
+    wanted = brute.exact(rows)
+    brute.same(exact_dedup.exact_dedup(docs(spark, rows)), wanted)
+    monkeypatch.setattr(common, "FILTER_BITS", 1)
+    assert common.bits_for(10) is None
+    brute.same(exact_dedup.exact_dedup(docs(spark, rows)), wanted)
+    assert exact_dedup.keep_first(docs(spark, rows)).count() == 71
+
+
+@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, simhash_dedup.simhash_dedup, phrase_dedup, suffix_dedup.suffix_dedup])
+def test_empty_tables_and_clashing_columns(spark, run):
+    names = "_bucket long, _at string, _bits binary, _hash long, text string, anchor long, context string, id string, h string, key string, fp long, n long, doc_id long"
+    rows = [(1, "a", b"b", 2, " ".join(["w"] * 80), 3, "c", "i", "h", "k", 4, 5, 9), (1, "a", b"b", 2, None, 3, "c", "i", "h", "k", 4, 5, None)]
+    plain = spark.createDataFrame([(r[12], r[4]) for r in rows], "doc_id long, text string")
+    both = spark.createDataFrame(rows, names)
+    assert sorted(map(str, run(both).collect())) == sorted(map(str, run(plain).collect()))
+    assert run(both.limit(0)).count() == 0
+
+
 def more_rows():
     rnd = random.Random(5)
     rows = list(brute.ODD_TEXTS)
@@ -132,9 +191,10 @@ def more_rows():
     return rows
 
 
-@pytest.mark.parametrize("hot", [1, 1500])
-def test_phrases(spark, sf_dir, monkeypatch, hot):
+@pytest.mark.parametrize("hot,places", [(1, 3), (1500, 3), (1500, 1 << 14)])
+def test_phrases(spark, sf_dir, monkeypatch, hot, places):
     monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(phrase_dedup_module, "GROUP_PLACES", places)
     for d, rows in ((docs(spark, more_rows()), more_rows()), texts(spark, sf_dir)):
         brute.same(phrase_dedup(d), brute.phrases(rows))
     assert phrase_dedup(docs(spark, [(1, "a")]).limit(0)).count() == 0
@@ -159,13 +219,37 @@ def test_suffix_array_is_sorted():
         assert same.tolist() == [i > 0 and strings[i] == strings[i - 1] for i in range(len(strings))]
 
 
-def test_suffix_levels_double():
-    family = SuffixFamily([b"%08d" % i for i in range(7)], 8)
+def test_suffix_levels_double_and_are_merged_not_rebuilt(monkeypatch):
+    built = []
+    plain = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda data, starts, width: built.append(len(starts)) or plain(data, starts, width))
+    contexts = [b"%08d" % (i * 7919 % 1000) for i in range(7)]
+    family = SuffixFamily(contexts, 8)
     for i in range(7):
-        family.add([i])
-    assert [len(x) if x else 0 for x in family.levels] == [1, 2, 4]
+        family.add(i, i + 1)
+    assert [len(x) if x is not None else 0 for x in family.levels] == [1, 2, 4]
+    family.finish()
+    assert built == [1] * 7  # each batch was sorted once, levels came from merging
+    assert [contexts[i // 8] for i in family.levels[0].tolist()] == sorted(contexts)
+    assert not family.found.any()
+
+
+@pytest.mark.parametrize("width", [3, 8, 13, 40])
+def test_suffix_family_finds_what_a_dictionary_finds(width):
+    source = np.random.default_rng(width)
+    contexts = [source.integers(97, 99, int(n)).astype(np.uint8).tobytes() for n in source.integers(1, 90, 40)]
+    contexts += [contexts[3] + b"x", b"y" + contexts[3], b"z" * 60]
+    family = SuffixFamily(contexts, width)
+    for i in range(0, len(contexts), 3):
+        family.add(i, min(i + 3, len(contexts)))
     family.finish()
-    assert not any(f.any() for f in family.found)
+    strings = [(i, c[j : j + width]) for i, c in zip(family.edges.tolist(), contexts) for j in range(len(c) - width + 1)]
+    seen = {}
+    for i, c in zip(family.edges.tolist(), contexts):
+        for j in range(len(c) - width + 1):
+            seen.setdefault(c[j : j + width], []).append(i + j)
+    assert set(np.flatnonzero(family.found).tolist()) == {p for places in seen.values() if len(places) > 1 for p in places}
+    assert len(family.levels[0]) == len(seen) <= len(strings)
 
 
 def test_passages_and_automaton():
