@@ -1,43 +1,56 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND by every passage.
 
-Documents are cut into overlapping passages of three times the longest item (of its batch), at a stride of one. So any
+Items are indexed whole, whatever their length; items of a like length (up to 64 words, 256, 1,024 and
+so on) share an index.
+Documents are cut into overlapping passages of three times the longest item of an index, at a stride of one. So any
 2 x longest + 1 words lie whole in one of them: every item with at least as many further words, before or between its
-question and answer or inside them, as the longest item has. A passage is a query:
-items whose BM25 score reaches their threshold are retrieved, and then the shingles of the item's question and of its
-answer are looked for in the passage. A document leaks an item if at least ``OVERLAP`` of the shingles of both parts
-are in one passage.
+question and answer or inside them, as the longest item has. A passage is a query: items whose BM25 score reaches their
+threshold are retrieved, and then the shingles of the item's question and of its answer are looked for in the passage.
+A document leaks an item if at least ``OVERLAP`` of the shingles of both parts are in one passage.
 
 The threshold of an item is what a passage with that overlap must score at least: its score with itself, less the
 impacts of the terms that may be missing. So retrieval loses nothing that verification would accept. Impacts are
-divided by the threshold of their item, so every item is retrieved from 1 on. Items lie in blocks; a term knows its
-largest impact in all and in each block. A passage is dropped if its largest impacts do not reach 1, a block if its own
-do not, and only then are postings read.
+divided by the threshold of their item, so every item is retrieved from 1 on. Document frequencies and the mean length
+are those of the whole benchmark, counted by Spark, so a score does not depend on which items share an index. Block-max
+WAND: a passage is dropped if its terms' largest impacts do not reach 1; the blocks of items whose own largest impacts
+reach 1 are found for many passages together; in these, cursors on the postings move from pivot to pivot.
 
-At scale: one pass over the documents for each ``ITEMS_AT_ONCE`` items, no shuffle; the index of that many items is
-broadcast, and its size is bounded by their number and ``ITEM_WORDS`` words each (longer items are searched in parts).
+At scale: no shuffle of documents. An index has a bounded number of items and words; indexes are broadcast as long as
+their measured size is at most ``INDEX_BYTES``, and further ones take further passes over the documents. An item that is
+larger than that by itself has an index of its own, as large as the item.
 
 Edge cases: null or empty texts match nothing; items without words are ignored; items that share an id are searched
-apart and reported once; items with a null id are searched like others, reported once with a null item_id, and their
-documents dropped; a part with fewer words than a shingle is one shingle; repeated documents give a row each;
+apart and reported once a pass; items with a null id are searched like others, reported once a pass with a null item_id,
+and their documents dropped; a part with fewer words than a shingle is one shingle; repeated documents give a row each;
 empty tables give an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice, repeat
+from dataclasses import dataclass
+from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
-ITEMS_AT_ONCE = 2048
-ITEM_WORDS = 512
+#: Items of one index, and words of them unless a single item has more.
+ITEMS_AT_ONCE, WORDS_AT_ONCE = 2048, 1 << 18
+#: Bytes of the indexes that are broadcast for one pass over the documents.
+INDEX_BYTES = 64 << 20
+#: Items of a block.
 BLOCK = 8
+#: Bounds of blocks that are added up together.
+BOUNDS_AT_ONCE = 1 << 22
 #: Passages that are looked at together, in words.
 BATCH_WORDS = 1 << 20
 
@@ -59,52 +72,77 @@ def parts_of(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def distinct_shingles(part: np.ndarray) -> int:
+    return len(shingles(part.tolist()))
+
+
 def shingles(ids: list[int], width: int = SHINGLE) -> set[tuple[int, ...]]:
     if not ids:
         return set()
     return {tuple(ids[i : i + width]) for i in range(max(1, len(ids) - width + 1))}
 
 
+@dataclass(frozen=True)
+class Item:
+    """A test item: its id, the words of both parts, and how many items of the benchmark hold each of its distinct words."""
+
+    item: int | None
+    question: list[str]
+    answer: list[str]
+    holders: dict[str, int]
+
+
+def counted_items(items: list[tuple[int | None, str | None]]) -> list[Item]:
+    """Items of a list that is the whole benchmark; items without words are left out."""
+    parts = [(i, *parts_of(t or "")) for i, t in items]
+    holders = Counter(w for _, q, a in parts for w in {*q, *a})
+    return [Item(i, q, a, {w: holders[w] for w in {*q, *a}}) for i, q, a in parts if q or a]
+
+
 class ItemIndex:
-    """Impacts of the terms of some items, by term and block."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        entries = []  # (item, question, answer); long items in parts
-        for item, text in items:
-            question, answer = parts_of(text or "")
-            if len(question) + len(answer) <= ITEM_WORDS:
-                if question or answer:
-                    entries.append((item, question, answer))
-                continue
-            whole, half = question + answer, ITEM_WORDS // 2
-            entries += [(item, whole[a : a + half], whole[a + half : a + 2 * half]) for a in range(0, len(whole) - half, half)]
-        self.items = [e[0] for e in entries]
+    """A BM25 inverted index of some items: for each term its postings in the order of items, its largest impact in every
+    block of items that has it, and its largest impact of all.
+
+    n and mean_words: number and mean length of the items of the whole benchmark, so that scores do not depend on which
+    items share an index.
+    """
+
+    def __init__(self, items: list[Item], n: int, mean_words: float):
+        self.items = [x.item for x in items]
         self.terms: dict[str, int] = {}
-        coded = [([self.terms.setdefault(w, len(self.terms)) for w in q], [self.terms.setdefault(w, len(self.terms)) for w in a]) for _, q, a in entries]
-        self.question = [shingles(q) for q, _ in coded]
-        self.answer = [shingles(a) for _, a in coded]
-        lengths = np.array([len(q) + len(a) for q, a in coded], float)
-        self.longest = int(lengths.max(initial=1))
-        counts = [np.unique(np.array(q + a, np.int64), return_counts=True) for q, a in coded]
-        n, v = len(entries), len(self.terms)
-        holders = np.bincount(np.concatenate([t for t, _ in counts]) if counts else np.zeros(0, np.int64), minlength=v)
-        idf = np.log(1 + (n - holders + 0.5) / (holders + 0.5))
-        blocks = max(1, -(-n // BLOCK))
-        self.block_max = np.zeros((v + 1, blocks), np.float32)  # the last row: words that no item has
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, (terms, tf) in enumerate(counts):
-            impact = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / lengths.mean()))
-            gone = int(len(self.question[i]) * (1 - OVERLAP) + 1e-9) + int(len(self.answer[i]) * (1 - OVERLAP) + 1e-9)
-            threshold = np.sort(impact)[: max(1, len(impact) - gone)].sum()
-            impact = (impact / threshold * (1 + 1e-5)).astype(np.float32)
-            b = i // BLOCK
-            self.block_max[terms, b] = np.maximum(self.block_max[terms, b], impact)
-            for t, x in zip(terms.tolist(), impact.tolist(), strict=True):
-                held = self.postings.setdefault((t, b), ([], []))
-                held[0].append(i)
-                held[1].append(x)
-        self.most = self.block_max.max(1)
+        coded = [tuple(np.array([self.terms.setdefault(w, len(self.terms)) for w in part], np.int32) for part in (x.question, x.answer)) for x in items]
+        self.parts, self.known = coded, {}
+        self.longest = max((len(q) + len(a) for q, a in coded), default=1)
         self.width, self.step = 3 * self.longest, self.longest
+        words = list(self.terms)
+        of_term, of_item, impacts = [], [], []
+        for i, (x, (q, a)) in enumerate(zip(items, coded, strict=True)):
+            terms, tf = np.unique(np.concatenate((q, a)), return_counts=True)
+            holders = np.array([x.holders[words[t]] for t in terms.tolist()], float)
+            idf = np.log(1 + (n - holders + 0.5) / (holders + 0.5))
+            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(q) + len(a)) / mean_words))
+            missing = sum(int(distinct_shingles(part) * (1 - OVERLAP) + 1e-9) for part in (q, a))
+            threshold = np.sort(impact)[: max(1, len(impact) - missing)].sum()
+            of_term.append(terms)
+            of_item.append(np.full(len(terms), i, np.int32))
+            impacts.append((impact / threshold * (1 + 1e-5)).astype(np.float32))
+        term, self.item, self.impact = (np.concatenate(x) if items else np.zeros(0, np.int32) for x in (of_term, of_item, impacts))
+        order = np.lexsort((self.item, term))
+        term, self.item, self.impact = term[order], self.item[order], self.impact[order]
+        v = len(self.terms)
+        self.first = np.searchsorted(term, np.arange(v + 1))
+        block = self.item // BLOCK
+        heads = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.block, self.block_most = block[heads], np.maximum.reduceat(self.impact, heads) if len(heads) else self.impact
+        self.block_first = np.append(np.searchsorted(term[heads], np.arange(v + 1)), len(heads))  # the last term: words that no item has
+        self.most = np.append(np.maximum.reduceat(self.impact, self.first[:-1]) if v else self.impact, np.float32(0))
+        self.blocks = max(1, -(-len(items) // BLOCK))
+
+    @property
+    def size(self) -> int:
+        """Bytes, more or less: arrays, and a string and a dictionary entry for each term."""
+        arrays = (self.item, self.impact, self.first, self.block, self.block_most, self.block_first, self.most, *chain.from_iterable(self.parts))
+        return sum(x.nbytes for x in arrays) + sum(len(w) + 150 for w in self.terms) + 250 * len(self.items)
 
     def passages(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Term ids of each passage in rows, the text each is of, and the term ids of each text."""
@@ -126,50 +164,145 @@ class ItemIndex:
         found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
         if not self.items or not texts:
             return found
-        rows, of, _ = self.passages(texts)
+        rows, of, ids = self.passages(texts)
         rows = np.sort(rows, axis=1)
-        again = np.zeros(rows.shape, bool)
-        again[:, 1:] = rows[:, 1:] == rows[:, :-1]
-        rows[again] = len(self.terms)
-        whole = self.most[rows].sum(1)
+        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = len(self.terms)
         starts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1]
-        for p in np.flatnonzero(whole >= 1).tolist():
-            terms = rows[p][rows[p] < len(self.terms)]
-            reached = np.flatnonzero(self.block_max[terms].sum(0) >= 1)
-            for b in reached.tolist():
-                scores = np.zeros(BLOCK)
-                for t in terms.tolist():
-                    if (held := self.postings.get((t, b))) is not None:
-                        scores[np.array(held[0]) - b * BLOCK] += held[1]
-                for i in (np.flatnonzero(scores >= 1) + b * BLOCK).tolist():
-                    self._verify(i, float(scores[i - b * BLOCK]), texts[of[p]], p - starts[of[p]], found[of[p]])
+        hopeful = np.flatnonzero(self.most[rows].sum(1) >= 1)
+        step = max(1, BOUNDS_AT_ONCE // (self.width * self.blocks))
+        for a in range(0, len(hopeful), step):
+            some = hopeful[a : a + step]
+            for p, blocks in self._reached(rows[some]):
+                p = int(some[p])
+                terms = rows[p][rows[p] < len(self.terms)].tolist()
+                text, nth = int(of[p]), p - int(starts[of[p]])
+                passage = ids[text][nth * self.step : nth * self.step + self.width]
+                for i, score in self.wand(terms, blocks):
+                    self._verify(i, score, passage, found[text])
         return found
 
-    def _verify(self, i: int, score: float, text: str, passage: int, found: dict) -> None:
-        words = words_of(text)[passage * self.step : passage * self.step + self.width]
-        ids = [self.terms.get(w, -1) for w in words]
-        there: dict[int, set] = {}
+    def _reached(self, rows: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(row, blocks) of the rows of terms whose largest impacts in some block add up to 1."""
+        place, at = np.nonzero(rows < len(self.terms))
+        terms = rows[place, at]
+        first, count = self.block_first[terms], self.block_first[terms + 1] - self.block_first[terms]
+        entry = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        cell = np.repeat(place, count) * self.blocks + self.block[entry]
+        bounds = np.bincount(cell, self.block_most[entry], minlength=len(rows) * self.blocks)
+        reached = np.flatnonzero(bounds >= 1)
+        for p in np.unique(reached // self.blocks).tolist():
+            yield p, (reached[reached // self.blocks == p] % self.blocks).tolist()
+
+    def wand(self, terms: list[int], blocks: list[int]) -> Iterator[tuple[int, float]]:
+        """(item, score) of the items in some blocks that score 1 or more with distinct terms, by block-max WAND.
+
+        Cursors skip to the next block that can reach 1. Within it they stand in the order of their items; the pivot is
+        the first item at which the block's largest impacts of the cursors up to it reach 1. Cursors before it skip to
+        it, and only a pivot that all of them have reached is scored.
+        """
+        cursors = [(int(self.first[t]), int(self.first[t + 1]), int(self.block_first[t]), int(self.block_first[t + 1])) for t in terms]
+        for b in blocks:
+            live = []  # [item, place, end, largest impact] of each term that the block has
+            for first, end, low, high in cursors:
+                k = low + int(np.searchsorted(self.block[low:high], b))
+                if k < high and self.block[k] == b:
+                    at = first + int(np.searchsorted(self.item[first:end], b * BLOCK))
+                    live.append([int(self.item[at]), at, end, float(self.block_most[k])])
+            while True:
+                live.sort(key=itemgetter(0))
+                bound, pivot = 0.0, None
+                for c in live:
+                    bound += c[3]
+                    if bound >= 1:
+                        pivot = c[0]
+                        break
+                if pivot is None:
+                    break
+                if live[0][0] == pivot:
+                    here = [c for c in live if c[0] == pivot]
+                    score = sum(float(self.impact[c[1]]) for c in here)
+                    if score >= 1:
+                        yield pivot, score
+                    moved, target = here, pivot + 1
+                else:
+                    moved, target = [c for c in live if c[0] < pivot], pivot
+                for c in moved:
+                    c[1] += int(np.searchsorted(self.item[c[1] : min(c[2], c[1] + BLOCK)], target))
+                    c[0] = int(self.item[c[1]]) if c[1] < c[2] else (b + 1) * BLOCK
+                live = [c for c in live if c[0] < (b + 1) * BLOCK]
+
+    def _shingles(self, i: int) -> list[set[tuple[int, ...]]]:
+        if i not in self.known:
+            self.known[i] = [shingles(part.tolist()) for part in self.parts[i]]
+        return self.known[i]
+
+    def _verify(self, i: int, score: float, passage: np.ndarray, found: dict) -> None:
+        words = passage.tolist()
 
         def share(part: set) -> float:
             if not part:
                 return 1.0
             width = len(next(iter(part)))
-            if width not in there:
-                there[width] = {tuple(ids[k : k + width]) for k in range(len(ids) - width + 1)}
-            return len(part & there[width]) / len(part)
+            return len(part & {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}) / len(part)
 
-        q, a = share(self.question[i]), share(self.answer[i])
+        q, a = map(share, self._shingles(i))
         if q >= OVERLAP and a >= OVERLAP:
             item = self.items[i]
             found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, q, a))
 
 
+def prepared(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int, float]:
+    """(words, item, question, answer, counts) of each item with words, the shortest first; their number and mean length.
+    counts: how many items hold each distinct word of question and answer, in the order in which they occur."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [parts_of(t or "") for t in batch.column("text").to_pylist()]
+            columns = [batch.column("item"), *(pa.array([p[k] for p in parts], pa.list_(pa.string())) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "question", "answer"])
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+    items = rows.mapInArrow(split, "item long, question array<string>, answer array<string>")
+    items = items.withColumns({"nth": F.monotonically_increasing_id(), "words": F.size("question") + F.size("answer")}).filter("words > 0")
+    items = stored(items, "items")
+    n, mean = items.agg(F.count("*"), F.avg("words")).first()
+    terms = items.select("nth", F.posexplode(F.array_distinct(F.concat("question", "answer"))).alias("at", "term"))
+    holders = terms.groupBy("term").agg(F.count("*").alias("holders"))
+    counts = F.transform(F.sort_array(F.collect_list(F.struct("at", "holders"))), lambda x: x["holders"]).alias("counts")
+    counted = items.join(terms.join(holders, "term").groupBy("nth").agg(counts), "nth").orderBy("words", "nth")
+    return stored(counted.select("words", "nth", "item", "question", "answer", "counts"), "counted-items"), n, mean
+
+
+def _class(words: int) -> int:
+    """Items of one class of length share an index, and so the length of its passages: up to 64 words, 256, 1024 and so on."""
+    return max(0, (words - 1).bit_length() - 5) // 2
+
+
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[ItemIndex]:
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).toLocalIterator()
-    while items := [(r[0], r[1]) for r in islice(rows, ITEMS_AT_ONCE)]:
-        index = ItemIndex(items)
-        if index.items:
-            yield index
+    counted, n, mean = prepared(benchmark, item_col, text_col)
+    some: list[Item] = []
+    words, of = 0, None
+    for r in counted.orderBy("words", "nth").toLocalIterator():
+        if some and (_class(r["words"]) != of or len(some) == ITEMS_AT_ONCE or words + r["words"] > WORDS_AT_ONCE):
+            yield ItemIndex(some, n, mean)
+            some, words = [], 0
+        distinct = dict.fromkeys([*r["question"], *r["answer"]])
+        some.append(Item(r["item"], r["question"], r["answer"], dict(zip(distinct, r["counts"], strict=True))))
+        words, of = words + r["words"], _class(r["words"])
+    if some:
+        yield ItemIndex(some, n, mean)
+
+
+def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[ItemIndex]]:
+    """The indexes that one pass over the documents searches: INDEX_BYTES together, or a single one."""
+    held: list[ItemIndex] = []
+    for index in _indexes(benchmark, item_col, text_col):
+        if held and sum(x.size for x in held) + index.size > INDEX_BYTES:
+            yield held
+            held = []
+        held.append(index)
+    if held:
+        yield held
 
 
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -184,8 +317,13 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _found(index: ItemIndex, texts: list[str]) -> list[dict[int, tuple[float, float, float]]]:
-    return [hit for a, b in _batches(texts) for hit in index.search(texts[a:b])]
+def _found(indexes: list[ItemIndex], texts: list[str]) -> list[dict[int, tuple[float, float, float]]]:
+    out: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+    for index in indexes:
+        for a, b in _batches(texts):
+            for hits, more in zip(out[a:b], index.search(texts[a:b]), strict=True):
+                hits |= {i: max(v, hits.get(i, v)) for i, v in more.items()}
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -194,8 +332,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for index in _indexes(benchmark, item_col, item_text):
-        held = spark.sparkContext.broadcast(index)
+    for indexes in _passes(benchmark, item_col, item_text):
+        held = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -214,8 +352,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """The documents that leak no item, with their own columns and without a shuffle."""
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
     at = docs.columns.index(text_col)
-    for index in _indexes(benchmark, item_col, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _passes(benchmark, item_col, item_text):
+        held = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -93,6 +93,39 @@ def strings(rows, width=400):
     return out
 
 
+def leaks(rows, items):
+    """{(doc_id, item_id)}: every item against every passage of every document, by looking all shingles up."""
+    lower = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    parts = []
+    for item, text in items:
+        sentences = [x for x in (lower(y) for y in re.sub(r"([.?!])\s+", "\\1\0", text or "").split("\0")) if x]
+        if len(sentences) > 1:
+            parts.append((item, sum(sentences[:-1], []), sentences[-1]))
+        elif sentences:
+            words = sentences[0]
+            cut = max(1, len(words) - max(1, len(words) // 4))
+            parts.append((item, words[:cut], words[cut:]))
+    classes = collections.defaultdict(list)
+    for p in parts:
+        k = 64
+        while k < len(p[1]) + len(p[2]):
+            k *= 4
+        classes[k].append(p)
+    grams = lambda ws, n: {" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+    found = set()
+    for group in classes.values():
+        longest = max(len(q) + len(a) for _, q, a in group)
+        for doc, text in rows:
+            words = lower(text)
+            for start in range(0, max(1, len(words)), longest):
+                passage = words[start : start + 3 * longest]
+                there = {n: grams(passage, n) for n in range(1, 6)}
+                for item, *both in group:
+                    if all(not p or len((g := grams(p, min(5, len(p)))) & there[min(5, len(p))]) >= 0.8 * len(g) for p in both):
+                        found.add((doc, item))
+    return found
+
+
 def warc(rows):
     groups = collections.defaultdict(list)
     for p, _, h in rows:
