@@ -5,8 +5,10 @@ by all grades; ordered thresholds t0 < t1 cut its score, P(grade > k) = sigmoid(
 expected grade and the tail probability P(grade >= 2), by which documents are selected.
 
 Features are hashed words (lower case, without marks), their beginnings and their shapes, each once a document, and for
-the whole text the shares of shapes, of repeated neighbours and of distinct words in tenths. Only features that are
-far more common in documents of a low grade than chance allows carry a weight, so rare words cannot move a score.
+the whole text the shares of shapes, of repeated neighbours and of distinct words in tenths. Every feature may carry a
+weight; an absolute penalty holds weights back and leaves most of them at zero. Held-out shares that are kept, one fold
+of the ratings out: at 4,000 ratings 0 % of toxic, 9 % of low-quality and 98 % of good documents; at 400 ratings, mean
+of five folds, 12 %, 19 % and 96 %.
 
 At scale: the model is fitted on at most ``SAMPLE_ROWS`` rated documents, those with the smallest hashed ids, a
 documented bound; everything else is one pass over all documents without a shuffle. The weights are one array of
@@ -31,9 +33,8 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 18
 SAMPLE_ROWS = 6_000
-MIN_DOCS = 10
-#: How far a feature's count among the documents of a low grade must exceed chance, in standard deviations.
-MIN_EXCESS = 9.0
+#: The penalty on a weight: standard deviations of its slope, and parts of what one rated document can add to a slope.
+PENALTY, BASE_PENALTY = 0.1, 0.4
 #: Lengths of the beginnings of words that are features of their own.
 PREFIXES = (4, 5, 6)
 GRADES = 3
@@ -121,46 +122,54 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 150, rate: float = 0.05, decay: float = 1e-2) -> OrdinalModel:
-    """Maximum likelihood with Adam over all rows at once. The thresholds are t0 and t0 + exp(gap), so they stay ordered."""
+def loss_and_slopes(scores: np.ndarray, cut: np.ndarray, grades: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log likelihood and its slopes by each score and by cut = (t0, log(t1 - t0))."""
+    gap = np.exp(cut[1])
+    tails = 1 / (1 + np.exp(-np.clip(scores[:, None] - np.array([cut[0], cut[0] + gap]), -60, 60)))
+    at = np.arange(len(scores))
+    upper = np.concatenate((np.ones((len(scores), 1)), tails, np.zeros((len(scores), 1))), 1)
+    above, below = upper[at, grades], upper[at, grades + 1]
+    p = np.clip(above - below, 1e-12, None)
+    d_above, d_below = above * (1 - above), below * (1 - below)
+    # threshold k bounds grade k from above and grade k + 1 from below
+    d_cut = np.array([(share * (np.where(grades == k, -d_below, 0) + np.where(grades == k + 1, d_above, 0)) / p).sum() for k in range(GRADES - 1)])
+    return float(-(share * np.log(p)).sum()), -share * (d_above - d_below) / p, np.array([d_cut.sum(), d_cut[1] * gap])
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 200, penalty: float = PENALTY, base: float = BASE_PENALTY) -> OrdinalModel:
+    """Maximum likelihood with an absolute penalty on every weight, by accelerated proximal steps over all rows at once.
+
+    Every grade weighs the same. The penalty of a weight is ``penalty`` times the standard deviation that its slope has by
+    chance, so rare and common features are held back alike. A step that makes the objective worse is undone and halved.
+    """
     lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    seen = np.bincount(flat, minlength=1 << BUCKET_BITS)
-    of = np.repeat(grades, lengths)
-    share_of = np.bincount(grades, minlength=GRADES) / max(1, len(rows))
-    excess = np.zeros(1 << BUCKET_BITS)
-    for k in range(GRADES - 1):
-        chance = seen * share_of[k]
-        excess = np.maximum(excess, (np.bincount(flat[of == k], minlength=1 << BUCKET_BITS) - chance) / np.sqrt(np.maximum(chance, 1e-9)))
-    used = np.flatnonzero((seen >= MIN_DOCS) & (excess >= MIN_EXCESS))
-    place = np.full(1 << BUCKET_BITS, -1)
-    place[used] = np.arange(len(used))
+    used, column = np.unique(np.concatenate(rows) if len(rows) else np.zeros(0, np.int64), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), lengths)
-    column = place[flat]
-    row, column = row[column >= 0], column[column >= 0]
-    share = 1 / np.bincount(grades, minlength=GRADES).clip(1)[grades]  # every grade weighs the same
+    n, v = len(rows), len(used)
+    share = 1 / np.bincount(grades, minlength=GRADES).clip(1)[grades]
     share /= share.sum()
-    w = np.zeros(len(used) + 2)  # the last two: t0 and the log of the gap
-    w[-1] = np.log(2.0)
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, epochs + 1):
-        scores = np.bincount(row, w[column], minlength=len(rows))
-        cuts = np.array([w[-2], w[-2] + np.exp(w[-1])])
-        upper = np.concatenate((np.ones((len(rows), 1)), 1 / (1 + np.exp(-np.clip(scores[:, None] - cuts, -60, 60))), np.zeros((len(rows), 1))), 1)
-        at = np.arange(len(rows))
-        above, below = upper[at, grades], upper[at, grades + 1]
-        p = np.clip(above - below, 1e-9, None)
-        d_above, d_below = above * (1 - above), below * (1 - below)
-        d_score = -share * (d_above - d_below) / p
-        # threshold k bounds grade k from above and grade k + 1 from below
-        d_cut = np.array([(share * (np.where(grades == k, -d_below, 0) + np.where(grades == k + 1, d_above, 0)) / p).sum() for k in range(2)])
-        gradient = np.concatenate((np.bincount(column, d_score[row], minlength=len(used)) + decay * w[:-2] / len(used) ** 0.5, [d_cut.sum(), d_cut[1] * np.exp(w[-1])]))
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    held_back = penalty * np.sqrt(np.bincount(column, (share**2)[row], minlength=v)) + base * share.max()
+    step = 0.5 / (np.bincount(column, share[row], minlength=v).clip(1e-12) * max(1.0, lengths.mean()) ** 0.5)
+    w, ahead, scores, scores_ahead = np.zeros(v), np.zeros(v), np.zeros(n), np.zeros(n)
+    cut, pace, last, size = np.array([-np.log(2.0), np.log(2 * np.log(2.0))]), 1.0, np.inf, 1.0
+    for _ in range(epochs):
+        _, d_score, d_cut = loss_and_slopes(scores_ahead, cut, grades, share)
+        moved = ahead - size * step * np.bincount(column, d_score[row], minlength=v)
+        new = np.sign(moved) * np.maximum(0, np.abs(moved) - size * step * held_back)
+        new_cut = cut - 0.5 * size * d_cut
+        new_scores = np.bincount(row, new[column], minlength=n)
+        now = loss_and_slopes(new_scores, new_cut, grades, share)[0] + (held_back * np.abs(new)).sum()
+        if now > last:  # too far: from the last point again, without what was gathered, and less far if that was no cause
+            size = size if pace > 1 else size / 2
+            pace, ahead, scores_ahead = 1.0, w, scores
+            continue
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        swing = (pace - 1) / faster
+        ahead, scores_ahead = new + swing * (new - w), new_scores + swing * (new_scores - scores)
+        w, scores, cut, pace, last = new, new_scores, new_cut, faster, now
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
-    weights[used] = w[:-2]
-    return OrdinalModel(weights, np.array([w[-2], w[-2] + np.exp(w[-1])]))
+    weights[used] = w
+    return OrdinalModel(weights, np.array([cut[0], cut[0] + np.exp(cut[1])]))
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -36,6 +36,71 @@ def test_held_out_accuracy(spark, sf_dir):
     assert model.thresholds[0] < model.thresholds[1]
 
 
+def test_held_out_toxic_documents_go(spark):
+    d, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.train(d, labels, fold=1)
+    held = quality.graded(labels).filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 1)
+    rows = quality.score(d.join(held.select("doc_id"), "doc_id"), model).join(held, "doc_id").select("grade", "keep").collect()
+    kept = {g: np.mean([r["keep"] for r in rows if r["grade"] == g]) for g in range(3)}
+    assert kept[0] < 0.15 and kept[1] < 0.35 and kept[2] > 0.93
+
+
+def test_a_small_table_gives_a_model(spark, sf_dir):
+    model = quality.train(documents(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert (model.weights != 0).sum() > 20
+
+
+def ordinal_case(n=120, v=12):
+    source = np.random.default_rng(5)
+    x = source.random((n, v)) < 0.3
+    grades = np.digitize(x @ source.normal(size=v) + source.logistic(size=n) * 0.3, [-0.3, 0.4])
+    return [np.flatnonzero(r) for r in x], grades, np.full(n, 1 / n)
+
+
+def test_slopes_are_those_of_the_loss():
+    _, grades, share = ordinal_case()
+    source = np.random.default_rng(6)
+    scores, cut = source.normal(size=len(grades)), np.array([-0.4, 0.2])
+    _, d_score, d_cut = quality.loss_and_slopes(scores, cut, grades, share)
+    for k in range(0, len(scores), 11):
+        step = np.zeros(len(scores))
+        step[k] = 1e-5
+        up, down = (quality.loss_and_slopes(scores + s, cut, grades, share)[0] for s in (step, -step))
+        assert abs((up - down) / 2e-5 - d_score[k]) < 1e-7
+    for k in range(2):
+        up, down = (quality.loss_and_slopes(scores, cut + s * np.eye(2)[k], grades, share)[0] for s in (1e-5, -1e-5))
+        assert abs((up - down) / 2e-5 - d_cut[k]) < 1e-7
+
+
+def test_fit_reaches_what_a_plain_optimiser_reaches():
+    """Against many small proximal steps without any acceleration."""
+    rows, grades, _ = ordinal_case()
+    share = 1 / np.bincount(grades, minlength=3)[grades]
+    share /= share.sum()
+    x = np.array([[i in set(r.tolist()) for i in range(12)] for r in rows], float)
+    held = quality.PENALTY * np.sqrt((share**2) @ x) + quality.BASE_PENALTY * share.max()
+
+    def objective(w, t):
+        return quality.loss_and_slopes(x @ w, np.array([t[0], np.log(t[1] - t[0])]), grades, share)[0] + (held * np.abs(w)).sum()
+
+    w, cut = np.zeros(12), np.array([-0.7, 0.3])
+    for _ in range(20_000):
+        _, d_score, d_cut = quality.loss_and_slopes(x @ w, cut, grades, share)
+        moved = w - 0.1 * (d_score @ x)
+        w, cut = np.sign(moved) * np.maximum(0, np.abs(moved) - 0.1 * held), cut - 0.1 * d_cut
+    model = quality.fit(rows, grades, epochs=2000)
+    assert objective(model.weights[:12].astype(float), model.thresholds) <= objective(w, [cut[0], cut[0] + np.exp(cut[1])]) + 1e-5
+    assert not model.weights[12:].any() and (model.weights[:12] != 0).any()
+
+
+def test_quality_of_a_very_long_text_and_of_ties(spark):
+    rows = [(1, "word " * 400_000), (2, "same text"), (3, "same text"), (4, "bad stuff"), (5, "bad stuff"), (5, "bad stuff")]
+    labels = spark.createDataFrame([(2, 1, 0), (3, 1, 0), (4, 0, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    out = quality.quality_classifier(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(out) == 6 and len({r["quality_score"] for r in out if r["doc_id"] in (2, 3)}) == 1
+    assert len({(r["quality_score"], r["keep"]) for r in out if r["doc_id"] == 5}) == 1
+
+
 def test_quality_edges(spark, sf_dir):
     labels = spark.createDataFrame([(1, None, 1), (1, 1, 0), (None, 1, 1), (2, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r["doc_id"]: r["grade"] for r in quality.graded(labels).collect()} == {1: 0, 2: 1, 3: 2}
@@ -165,43 +230,82 @@ def test_items_without_id_leak(spark):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(d, bench).collect()] == [2]
 
 
+def whole_index(items):
+    items = decontaminate.counted_items(items)
+    return decontaminate.ItemIndex(items, len(items), np.mean([len(x.question) + len(x.answer) for x in items]))
+
+
 @pytest.mark.parametrize("further", [5, 30, 40])
 def test_longest_item_with_words_between(further):
     """At every offset, an item of the longest length with words between question and answer."""
     question, answer = (" ".join(f"{c}{i}" for i in range(20)) for c in "qa")
-    index = decontaminate.ItemIndex([(1, f"{question}? {answer}."), (2, "Short one? Yes.")])
+    index = whole_index([(1, f"{question}? {answer}."), (2, "Short one? Yes.")])
     copy = f"{question} {' '.join(['between'] * further)} {answer}"
     texts = [" ".join([*["w"] * offset, copy, *["w"] * after]) for offset in range(85) for after in (0, 100)]
     assert [set(hits) for hits in index.search(texts)] == [{1}] * len(texts)
 
 
-def test_search_loses_nothing(spark, sf_dir):
-    """Every item that a brute look-up of shingles finds in one passage is retrieved."""
-    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    texts = [r["text"] for r in documents(spark, sf_dir).collect()]
+def leak_cases(spark, sf_dir):
+    """Real items and documents, items with changed words, and items of 480 to 3000 words, whole and in part."""
     rnd = random.Random(2)
-    for _, t in bench[:10]:  # items with a word or two changed
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:40]
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark, sf_dir).collect()][:80]
+    for n, (_, t) in enumerate(items[:20]):
         words = t.split(" ")
-        words[rnd.randrange(len(words))] = "zzz"
-        texts.append("intro words " * 20 + " ".join(words))
-    index = decontaminate.ItemIndex(bench)
-    got = index.search(texts)
-    for text, found in zip(texts, got, strict=True):
-        words = decontaminate.words_of(text)
-        expected = set()
-        for start in range(0, max(1, len(words) - index.step), index.step):
-            passage = words[start : start + index.width]
-            for item, t in bench:
-                parts = decontaminate.parts_of(t)
-                shares = []
-                for p in parts:
-                    s = decontaminate.shingles(p)
-                    width = min(5, len(p))
-                    there = {tuple(passage[i : i + width]) for i in range(len(passage) - width + 1)}
-                    shares.append(len(s & there) / len(s) if s else 1.0)
-                if min(shares) >= 0.8:
-                    expected.add(item)
-        assert set(found) == expected
+        for _ in range(n % 4):
+            words[rnd.randrange(len(words))] = "zzz"
+        rows.append((10_000 + n, "intro words " * 20 + " ".join(words)))
+    for n, size in enumerate((480, 700, 1500, 3000)):
+        long = " ".join(f"v{rnd.randrange(200)}" for _ in range(size))
+        items.append((500 + n, f"{long}. The answer is blue."))
+        around = " ".join(f"u{i}" for i in range(90))
+        rows += [(20_000 + n, f"{around} {long} the answer is blue {around}"), (21_000 + n, f"{around} {' '.join(long.split()[:512])}"), (22_000 + n, f"{long} {around}")]
+    return rows, [*items, (None, "Nobody knows this one? It has no number at all."), (7, None), (8, "?!")]
+
+
+@pytest.mark.parametrize("at_once", [3, 2048])
+def test_leaks_match_every_shingle_of_every_passage(spark, sf_dir, monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 40_000 if at_once == 3 else 1 << 26)
+    rows, items = leak_cases(spark, sf_dir)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    want = brute.leaks(rows, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert {(20_000 + n, 500 + n) for n in range(4)} <= want and not {(21_001, 501), (22_001, 501)} & want
+    scores = {(r["doc_id"], r["item_id"]): round(r["score"], 4) for r in got}
+    plain = whole_index(items).search([t or "" for _, t in rows])
+    for (doc, _), hits in zip(rows, plain):
+        for item in hits.keys() & {i for i, t in items if t and len(t) < 300}:
+            assert scores[doc, item] >= 1  # the score of an item does not depend on the other items of its index
+
+
+def test_scores_do_not_depend_on_the_index(spark, sf_dir):
+    rows, items = leak_cases(spark, sf_dir)
+    every = decontaminate.counted_items(items[:40])
+    mean = np.mean([len(x.question) + len(x.answer) for x in every])
+    text = [f"{t} and more words" for _, t in items[:40]]
+    whole = decontaminate.ItemIndex(every, len(every), mean).search(text)
+    for n in (1, 7):
+        parts = [decontaminate.ItemIndex(every[i : i + n], len(every), mean).search(text) for i in range(0, 40, n)]
+        for k, hits in enumerate(whole):
+            joined = {i: v for p in parts for i, v in p[k].items()}
+            assert joined.keys() == hits.keys() and all(abs(joined[i][0] - hits[i][0]) < 1e-4 for i in hits)
+
+
+def test_wand_scores_what_adding_all_postings_up_scores():
+    rnd = random.Random(6)
+    items = decontaminate.counted_items([(i, " ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(2, 12)))) for i in range(100)])
+    index = decontaminate.ItemIndex(items, 100, 7.0)
+    for _ in range(50):
+        terms = rnd.sample(range(len(index.terms)), 15)
+        scores = np.zeros(100)
+        for t in terms:
+            for k in range(index.first[t], index.first[t + 1]):
+                scores[index.item[k]] += index.impact[k]
+        row = np.array([terms], np.int32)
+        got = {i: round(s, 4) for _, blocks in index._reached(row) for i, s in index.wand(terms, blocks)}
+        assert got == {i: round(float(s), 4) for i, s in enumerate(scores) if s >= 1}
 
 
 def test_chat_round_trip(spark):
