@@ -47,3 +47,30 @@ def project_in_time(e: Column, w: Column, gap: Column) -> Column:
 def align(features: Column, size: int) -> Column:
     """The first size features, padded with zeros."""
     return F.slice(F.concat(features, F.array_repeat(F.lit(0.0), size)), 1, size)
+
+
+def linear(v: Column, weights: list[list[float]], bias: list[float] | None = None) -> Column:
+    """A linear layer: a row of weights for each output."""
+    rows = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
+    out = F.transform(rows, lambda row: dot(row, v))
+    return out if bias is None else F.zip_with(out, F.array(*[F.lit(float(b)) for b in bias]), lambda x, b: x + b)
+
+
+def relu(v: Column) -> Column:
+    return F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
+
+
+def mlp(v: Column, first: list[list[float]], first_bias: list[float], second: list[list[float]], second_bias: list[float]) -> Column:
+    """Two linear layers with a ReLU between them."""
+    return linear(relu(linear(v, first, first_bias)), second, second_bias)
+
+
+def attention_network(center: Column, neighbour: Column, hidden: list[list[float]], bias: list[float], out: list[float], out_bias: float) -> Column:
+    """The score of a neighbour by a network over both vectors and their absolute difference."""
+    apart = F.zip_with(center, neighbour, lambda x, y: F.abs(x - y))
+    return F.get(mlp(F.concat(center, neighbour, apart), hidden, bias, [out], [out_bias]), 0)
+
+
+def project_in_time_mlp(e: Column, gap: Column, first: list[list[float]], first_bias: list[float], second: list[list[float]], second_bias: list[float]) -> Column:
+    """Time projection by a network of the gap: e * (1 + mlp(gap)), the gap as it is."""
+    return F.zip_with(e, mlp(F.array(gap), first, first_bias, second, second_bias), lambda x, y: x * (1.0 + y))

@@ -22,6 +22,12 @@ def recent_neighbours(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("neighbours", F.collect_list("dst").over(w))
 
 
+def recent_edges(edges: DataFrame, k: int) -> DataFrame:
+    """Adds the last k edges of src before each event as (dst, ts), oldest first."""
+    w = Window.partitionBy("src").orderBy("event_seq").rowsBetween(-k, -1)
+    return edges.withColumn("recent", F.collect_list(F.struct("dst", "ts")).over(w))
+
+
 def with_edge_history(edges: DataFrame) -> DataFrame:
     """Adds last_time (of the same ordered pair, null for none) and weight (its events so far)."""
     w = Window.partitionBy("src", "dst").orderBy("event_seq")
@@ -43,42 +49,50 @@ def query_gap(events: DataFrame, states: DataFrame, entity: str, query_ts: str,
     return both.filter("_kind = 1").select("query_id", entity, (F.col("_t") - F.coalesce("_last", F.lit(0.0))).alias(name))
 
 
-def neighbour_messages(recent: DataFrame, table: DataFrame, history: DataFrame, decay: str, day: float = 86400.0) -> DataFrame:
+def neighbour_messages(recent: DataFrame, table: DataFrame, decay: str, day: float = 86400.0) -> DataFrame:
     """One row for each event and neighbour: its vector and decayed weight.
 
-    recent: src, event_seq, ts, neighbours. table: node, vector. history: src, dst, event_seq, ts, all earlier edges.
-    The gap is the one of the pair, so repeats of a neighbour share the newest one.
+    recent: src, event_seq, ts, recent. table: node, vector. The gap is the one of the pair, so repeats of a neighbour
+    share the newest one; as the newest edge of a pair is among the last ones if any of its edges is, the history of the
+    pair is not looked up.
     """
-    flat = recent.select("src", "event_seq", "ts", F.posexplode("neighbours").alias("pos", "dst"))
-    pairs = flat.select("src", "dst", "event_seq", "ts").distinct()
-    past = history.select("src", "dst", F.col("event_seq").alias("past_seq"), F.col("ts").alias("past_ts"))
-    newest = pairs.join(past, ["src", "dst"]).filter("past_seq < event_seq").groupBy("src", "dst", "event_seq").agg(F.max("past_ts").alias("last_time"))
-    out = flat.join(newest, ["src", "dst", "event_seq"]).join(table.withColumnRenamed("node", "dst"), "dst")
+    newest = lambda e: F.array_max(F.transform(F.filter("recent", lambda o: o["dst"] == e["dst"]), lambda o: o["ts"]))
+    each = F.transform("recent", lambda e: F.struct(e["dst"].alias("dst"), newest(e).alias("last_time")))
+    flat = recent.select("src", "event_seq", "ts", F.posexplode(each).alias("pos", "e")).select("src", "event_seq", "ts", "pos", "e.dst", "e.last_time")
+    out = flat.join(table.withColumnRenamed("node", "dst"), "dst")
     return out.withColumn("weight", scalars.time_decay((F.col("ts") - F.col("last_time")) / day, decay))
 
 
-def _by_position(messages: DataFrame, share: Column) -> DataFrame:
-    flat = messages.select("src", "event_seq", share.alias("share"), F.posexplode("vector").alias("dim", "x"))
-    return flat.groupBy("src", "event_seq", "dim").agg(F.sum(F.col("share") * F.col("x")).alias("x"))
+def _by_position(messages: DataFrame, share: Column, dims: int, also: Column | None = None) -> DataFrame:
+    """(src, event_seq, dim, x): sums of share times vector, each divided by ``also`` (an aggregate) if there is one.
+    The sums of all positions are taken together, so a message is one row until the end."""
+    sums = messages.groupBy("src", "event_seq").agg(*[F.sum(share * F.get("vector", i)).alias(f"_{i}") for i in range(dims)], (F.lit(1.0) if also is None else also).alias("_by"))
+    return sums.select("src", "event_seq", F.posexplode(F.array(*[F.col(f"_{i}") / F.col("_by") for i in range(dims)])).alias("dim", "x"))
 
 
-def aggregate_sum(messages: DataFrame) -> DataFrame:
+def aggregate_sum(messages: DataFrame, dims: int) -> DataFrame:
     """(src, event_seq, dim, x): weighted sum of neighbour vectors."""
-    return _by_position(messages, F.col("weight"))
+    return _by_position(messages, F.col("weight"), dims)
 
 
-def aggregate_mean(messages: DataFrame) -> DataFrame:
+def aggregate_mean(messages: DataFrame, dims: int) -> DataFrame:
     """Weighted sum over the sum of weights, at least 1e-8."""
-    weights = messages.groupBy("src", "event_seq").agg(F.greatest(F.sum("weight"), F.lit(1e-8)).alias("all"))
-    return aggregate_sum(messages).join(weights, ["src", "event_seq"]).select("src", "event_seq", "dim", (F.col("x") / F.col("all")).alias("x"))
+    return _by_position(messages, F.col("weight"), dims, F.greatest(F.sum("weight"), F.lit(1e-8)))
+
+
+def attention_scores(messages: DataFrame, centers: DataFrame, score: Column | None = None) -> DataFrame:
+    """Adds score: that of the neighbour's vector (``vector``) against the centre's (``center``), a dot product if none is
+    given, plus the logarithm of the decay. centers: src, center."""
+    score = vectors.dot(F.col("vector"), F.col("center")) if score is None else score
+    return messages.join(centers, "src").withColumn("score", score + F.log(F.col("weight") + 1e-8))
 
 
-def aggregate_attention(messages: DataFrame, centers: DataFrame) -> DataFrame:
-    """Softmax over dot products with the centre's vector plus the logarithm of the decay. centers: src, center."""
-    scored = messages.join(centers, "src").withColumn("score", vectors.dot("vector", "center") + F.log(F.col("weight") + 1e-8))
+def aggregate_attention(messages: DataFrame, centers: DataFrame, dims: int, score: Column | None = None) -> DataFrame:
+    """Sum of neighbour vectors by the softmax of their attention scores."""
+    scored = attention_scores(messages, centers, score)
     event = Window.partitionBy("src", "event_seq")
     raw = F.exp(F.col("score") - F.max("score").over(event))
-    return _by_position(scored.withColumn("raw", raw).withColumn("share", F.col("raw") / F.sum("raw").over(event)), F.col("share"))
+    return _by_position(scored.withColumn("raw", raw), F.col("raw"), dims, F.sum("raw"))
 
 
 def zeros_where_none(aggregated: DataFrame, events: DataFrame, dims: int) -> DataFrame:

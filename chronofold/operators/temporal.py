@@ -6,27 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[str], bucket: Column, name: str) -> DataFrame:
+#: Buckets whose sizes are summed up in one task, in the order of the coarse buckets that they belong to.
+BUCKETS_TOGETHER = 1024
+
+
+def bucket_shifts(sizes: DataFrame, bucket: str, n: str, name: str, run: Column | None = None) -> DataFrame:
+    """(bucket, name): the sum of n over all earlier buckets. Runs of buckets (BUCKETS_TOGETHER numbers, if no run is given)
+    are summed up apart, and only the sums of runs meet in one task."""
+    runs = sizes.withColumn("_run", F.floor(F.col(bucket) / BUCKETS_TOGETHER) if run is None else run)
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    of_runs = runs.groupBy("_run").agg(F.sum(n).alias("_all")).select("_run", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    inner = runs.withColumn("_inner", F.coalesce(F.sum(n).over(within), F.lit(0)))
+    return inner.join(of_runs, "_run").select(bucket, (F.col("_start") + F.col("_inner")).alias(name))
+
+
+def numbered(df: DataFrame, order: list[str], bucket: Column, name: str, run: Column | None = None) -> DataFrame:
     """Numbers rows from 0 in a total order without bringing them into one task.
 
-    bucket must not decrease along the order, such as a day of a timestamp. Rows are numbered within their bucket and
-    shifted by the number of rows in earlier ones; only the table of bucket sizes is summed up in one place.
+    bucket must not decrease along the order, such as a minute of a timestamp; its rows are one task's work. Rows are
+    numbered within their bucket and shifted by the number of rows in earlier ones. df is read twice, once for the sizes. run: of a bucket that is no number, what its neighbours share.
     """
     rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shifts = bucket_shifts(rows.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket", "_n", "_shift", run)
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
     return rows.withColumn("_place", place).join(shifts, "_bucket").withColumn(name, F.col("_shift") + F.col("_place")).drop("_bucket", "_place", "_shift")
 
 
-def dense_ids(df: DataFrame, raw: str, line: str, name: str, lines_per_bucket: int = 1 << 20) -> DataFrame:
+def dense_ids(df: DataFrame, raw: str, line: str, name: str, lines_per_bucket: int = 1 << 16) -> DataFrame:
     """(raw, name): ids from 0 by first appearance over all lines."""
     first = df.groupBy(raw).agg(F.min(line).alias("_first"))
     return numbered(first, ["_first"], F.floor(F.col("_first") / lines_per_bucket), name).select(raw, name)
 
 
-def event_sequence(df: DataFrame, ts: str = "ts", tie: str = "line_no", seconds_per_bucket: float = 86400.0, name: str = "event_seq") -> DataFrame:
+def event_sequence(df: DataFrame, ts: str = "ts", tie: str = "line_no", seconds_per_bucket: float = 60.0, name: str = "event_seq") -> DataFrame:
     """Adds the place of each event in the order of time, ties by line."""
     return numbered(df, [ts, tie], F.floor(F.col(ts) / seconds_per_bucket), name)
 

@@ -10,6 +10,8 @@ from ..operators import distributed, graph
 from . import base
 from .base import query
 
+#: Dimensions of the vectors that neighbours send.
+DIMS = 4
 #: Doubled edges; items follow the users.
 G = (
     base.E
@@ -45,7 +47,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base.table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("node"), F.slice(vectors.wide(F.col("embedding")), 1, 4).alias("vector"))
+    return e.select(F.col("vec_id").alias("node"), F.slice(vectors.wide(F.col("embedding")), 1, DIMS).alias("vector"))
 
 
 @query(f"WITH {G} SELECT src, dst, ts, event_seq FROM g")
@@ -117,8 +119,7 @@ def time_decay_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    return graph.neighbour_messages(graph.recent_neighbours(e, base.K), item_vectors(spark, sf_dir), e, "exp")
+    return graph.neighbour_messages(graph.recent_edges(edges(spark, sf_dir), base.K), item_vectors(spark, sf_dir), "exp")
 
 
 _FLAT = "x AS (SELECT src, event_seq, w, unnest(vec) AS y, unnest(range(4)) AS dim FROM m)"
@@ -126,12 +127,12 @@ _FLAT = "x AS (SELECT src, event_seq, w, unnest(vec) AS y, unnest(range(4)) AS d
 
 @query(f"WITH {M}, {_FLAT} SELECT src, event_seq, CAST(dim AS INTEGER) AS dim, round(sum(w * y), 6) AS x FROM x GROUP BY 1, 2, 3")
 def neigh_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate_sum(messages(spark, sf_dir)).withColumn("x", F.round("x", 6))
+    return graph.aggregate_sum(messages(spark, sf_dir), DIMS).withColumn("x", F.round("x", 6))
 
 
 @query(f"WITH {M}, {_FLAT} SELECT src, event_seq, CAST(dim AS INTEGER) AS dim, round(sum(w * y) / greatest(sum(w), 1e-8), 6) AS x FROM x GROUP BY 1, 2, 3")
 def neigh_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate_mean(messages(spark, sf_dir)).withColumn("x", F.round("x", 6))
+    return graph.aggregate_mean(messages(spark, sf_dir), DIMS).withColumn("x", F.round("x", 6))
 
 
 @query(f"""WITH {M},
@@ -142,23 +143,53 @@ def neigh_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT src, event_seq, CAST(dim AS INTEGER) AS dim, round(sum(share * y), 6) AS x FROM x GROUP BY 1, 2, 3""")
 def neigh_attn_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     centers = item_vectors(spark, sf_dir).toDF("src", "center")
-    return graph.aggregate_attention(messages(spark, sf_dir), centers).withColumn("x", F.round("x", 6))
+    return graph.aggregate_attention(messages(spark, sf_dir), centers, DIMS).withColumn("x", F.round("x", 6))
+
+
+# A small attention network: four hidden units over [center, neighbour, |center - neighbour|], with set weights.
+ATTENTION_HIDDEN = [[round(0.1 * ((7 * i + 3 * j) % 11 - 5), 1) for j in range(12)] for i in range(4)]
+ATTENTION_BIAS, ATTENTION_OUT = [0.1, -0.2, 0.3, 0.0], [0.5, -0.4, 0.3, 0.2]
+_UNITS = " + ".join(
+    f"{o} * greatest(list_dot_product(z, {h}::DOUBLE[]) + {b}, 0)" for o, h, b in zip(ATTENTION_OUT, ATTENTION_HIDDEN, ATTENTION_BIAS, strict=True)
+)
+
+
+@query(f"""WITH {M},
+    sc AS (SELECT m.*, list_concat(list_concat(c.vec, m.vec), list_transform(range(1, 5), lambda i: abs(c.vec[i] - m.vec[i]))) AS z FROM m JOIN t c ON c.node = m.src),
+    s2 AS (SELECT *, {_UNITS} + 0.05 + ln(w + 1e-8) AS score FROM sc),
+    sm AS (SELECT *, exp(score - max(score) OVER (PARTITION BY src, event_seq)) AS raw FROM s2),
+    sh AS (SELECT *, raw / sum(raw) OVER (PARTITION BY src, event_seq) AS share FROM sm),
+    x AS (SELECT src, event_seq, share, unnest(vec) AS y, unnest(range(4)) AS dim FROM sh)
+    SELECT src, event_seq, CAST(dim AS INTEGER) AS dim, round(sum(share * y), 6) AS x FROM x GROUP BY 1, 2, 3""")
+def neigh_attn_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centers = item_vectors(spark, sf_dir).toDF("src", "center")
+    score = vectors.attention_network(F.col("center"), F.col("vector"), ATTENTION_HIDDEN, ATTENTION_BIAS, ATTENTION_OUT, 0.05)
+    return graph.aggregate_attention(messages(spark, sf_dir), centers, DIMS, score).withColumn("x", F.round("x", 6))
+
+
+#: exp(-t^2) is summed up by Simpson's rule: erf(x) = 2 / sqrt(pi) times its integral from 0 to x.
+_GELU = "0.5 * x * (1 + sign(x) * least(1, 2 / sqrt(pi()) * (least(abs(x), 8.5) / sqrt(2)) / 384 * list_sum(list_transform(range(129), lambda i: (CASE WHEN i IN (0, 128) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(i / 128.0::DOUBLE * least(abs(x), 8.5) / sqrt(2), 2))))))"
+
+
+@query(f"WITH {M}, {_FLAT}, s AS (SELECT src, event_seq, dim, sum(w * y) AS x FROM x GROUP BY 1, 2, 3) SELECT src, event_seq, CAST(dim AS INTEGER) AS dim, round({_GELU}, 5) AS x FROM s")
+def agg_gelu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.aggregate_sum(messages(spark, sf_dir), DIMS).withColumn("x", F.round(scalars.activation(F.col("x"), "gelu"), 5))
 
 
 @query(f"""WITH {M}, {_FLAT}, y AS (SELECT src, event_seq, dim, sum(w * y) AS s FROM x GROUP BY 1, 2, 3)
     SELECT g.src, g.event_seq, CAST(d.dim AS INTEGER) AS dim, round(coalesce(s, 0), 6) AS x FROM g CROSS JOIN range(4) d(dim) LEFT JOIN y ON y.src = g.src AND y.event_seq = g.event_seq AND y.dim = d.dim""")
 def neigh_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.zeros_where_none(graph.aggregate_sum(messages(spark, sf_dir)), edges(spark, sf_dir), 4).withColumn("x", F.round("x", 6))
+    return graph.zeros_where_none(graph.aggregate_sum(messages(spark, sf_dir), DIMS), edges(spark, sf_dir), DIMS).withColumn("x", F.round("x", 6))
 
 
 @query(f"WITH {M}, {_FLAT} SELECT src, event_seq, CAST(dim AS INTEGER) AS dim, round(greatest(sum(w * y), 0), 6) AS x FROM x GROUP BY 1, 2, 3")
 def agg_relu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate_sum(messages(spark, sf_dir)).withColumn("x", F.round(scalars.activation(F.col("x"), "relu"), 6))
+    return graph.aggregate_sum(messages(spark, sf_dir), DIMS).withColumn("x", F.round(scalars.activation(F.col("x"), "relu"), 6))
 
 
 @query(f"WITH {M}, {_FLAT} SELECT src, event_seq, CAST(dim AS INTEGER) AS dim, round(tanh(sum(w * y)), 6) AS x FROM x GROUP BY 1, 2, 3")
 def agg_tanh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate_sum(messages(spark, sf_dir)).withColumn("x", F.round(scalars.activation(F.col("x"), "tanh"), 6))
+    return graph.aggregate_sum(messages(spark, sf_dir), DIMS).withColumn("x", F.round(scalars.activation(F.col("x"), "tanh"), 6))
 
 
 _E64 = "WITH w AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"

@@ -30,7 +30,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     rows = text.select("value", place.alias("_split"), F.monotonically_increasing_id().alias("_row"))
-    return numbered(rows, ["_row"], F.col("_split"), "line_no").select((F.col("line_no") + 1).alias("line_no"), "value")
+    return numbered(rows, ["_row"], F.col("_split"), "line_no", run=F.col("_bucket.file")).select((F.col("line_no") + 1).alias("line_no"), "value")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Operators on small tables with known results."""
 
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chronofold.functions import scalars, vectors
 from chronofold.operators import distributed, graph, ranking, stages, temporal, traces, trials
 from chronofold.sources import interactions, logs
 
@@ -134,18 +137,48 @@ def test_pairing_keeps_repeats_apart(spark):
     assert [(r["start"], r["end"]) for r in traces.pair_last(t).collect()] == [(6.0, 5.0)]
 
 
-def test_rank_and_recall(spark):
+@pytest.mark.parametrize("most", [64 << 20, 50])
+def test_rank_and_recall(spark, monkeypatch, most):
+    """Against a broadcast catalogue, and in blocks."""
+    monkeypatch.setattr(ranking, "MAX_CATALOGUE_BYTES", most)
     items = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [1.0]), (3, [5.0])], "item long, vector array<double>")
-    preds = spark.createDataFrame([(0, [1.0], 2), (1, [4.9], 3), (2, [9.0], 0)], "event long, pred array<double>, true_item long")
+    assert ranking.catalogue_blocks(items) == (1 if most > 100 else 2)
+    preds = spark.createDataFrame([(0, [1.0], 2), (0, [1.0], 1), (1, [4.9], 3), (2, [9.0], 0), (2, [9.0], 0), (3, [1.0], 9)], "pid long, pred array<double>, true_item long")
     ranks = ranking.true_ranks(preds, items)
-    assert {r["event"]: r["rank"] for r in ranks.collect()} == {0: 2, 1: 1, 2: 4}
-    m = ranking.overall(ranking.metrics(ranks, 2, ["event"])).first()
+    assert {(r["pid"], r["true_item"]): r["rank"] for r in ranks.collect()} == {(0, 2): 2, (0, 1): 1, (1, 3): 1, (2, 0): 4}
+    m = ranking.overall(ranking.metrics(ranks.filter("true_item <> 1"), 2, ["pid"])).first()
     assert m["recall_at_k"] == pytest.approx(2 / 3) and m["mrr"] == pytest.approx((0.5 + 1 + 0.25) / 3)
-    blocks, ranking.MAX_BROADCAST_ITEMS = ranking.MAX_BROADCAST_ITEMS, 2
-    try:
-        assert {r["event"]: r["rank"] for r in ranking.true_ranks(preds, items).collect()} == {0: 2, 1: 1, 2: 4}
-    finally:
-        ranking.MAX_BROADCAST_ITEMS = blocks
+    top = ranking.nearest(preds, items, 2)
+    assert {(r["pid"], r["item"], r["place"]) for r in top.collect()} == {(0, 1, 1), (0, 2, 2), (1, 3, 1), (1, 1, 2), (2, 3, 1), (2, 1, 2), (3, 1, 1), (3, 2, 2)}
+    assert ranking.true_ranks(preds.limit(0), items).count() == 0 and ranking.nearest(preds, items.limit(0), 2).count() == 0
+
+
+def test_numbering_goes_on_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(temporal, "BUCKETS_TOGETHER", 3)
+    rows = [(float(t), i) for i, t in enumerate([5, 1, 1, 900, 61, 3000, 61, 0, 700, 700, 120])]
+    d = spark.createDataFrame(rows, "ts double, line_no long").repartition(3)
+    got = {(r["ts"], r["line_no"]): r["event_seq"] for r in temporal.event_sequence(d).collect()}
+    assert got == {r: n for n, r in enumerate(sorted(rows))}
+
+
+def test_vector_layers_match_numpy(spark):
+    source = np.random.default_rng(3)
+    w1, b1, w2, b2 = source.normal(size=(5, 4)), source.normal(size=5), source.normal(size=(4, 5)), source.normal(size=4)
+    e, o = source.normal(size=4), source.normal(size=4)
+    d = spark.createDataFrame([(e.tolist(), o.tolist(), 2.5)], "e array<double>, o array<double>, gap double")
+    lists = [x.tolist() for x in (w1, b1, w2, b2)]
+    t1, t2 = source.normal(size=(4, 1)).tolist(), source.normal(size=(4, 4)).tolist()
+    hidden, bias, out = source.normal(size=(6, 12)), source.normal(size=6), source.normal(size=6)
+    got = d.select(
+        vectors.mlp(F.col("e"), *lists).alias("mlp"), vectors.project_in_time_mlp(F.col("e"), F.col("gap"), t1, b2.tolist(), t2, b2.tolist()).alias("time"),
+        vectors.attention_network(F.col("e"), F.col("o"), hidden.tolist(), bias.tolist(), out.tolist(), 0.5).alias("score"),
+        F.transform("e", lambda x: scalars.activation(x, "gelu")).alias("gelu"),
+    ).first()
+    relu = lambda x: np.maximum(x, 0)
+    assert got["mlp"] == pytest.approx((w2 @ relu(w1 @ e + b1) + b2).tolist())
+    assert got["time"] == pytest.approx((e * (1 + np.array(t2) @ relu(np.array(t1)[:, 0] * 2.5 + b2) + b2)).tolist())
+    assert got["score"] == pytest.approx(out @ relu(hidden @ np.concatenate((e, o, abs(e - o))) + bias) + 0.5)
+    assert got["gelu"] == pytest.approx([x * 0.5 * (1 + math.erf(x / 2**0.5)) for x in e], abs=1e-6)
 
 
 def test_merge_keeps_the_first_of_equals(spark):
