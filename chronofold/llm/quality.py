@@ -142,22 +142,34 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 200, penalty:
     Every grade weighs the same. The penalty of a weight is ``penalty`` times the standard deviation that its slope has by
     chance, so rare and common features are held back alike. A step that makes the objective worse is undone and halved.
     """
-    lengths = np.array([len(r) for r in rows])
-    used, column = np.unique(np.concatenate(rows) if len(rows) else np.zeros(0, np.int64), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    n, v = len(rows), len(used)
+    lengths = np.array([len(r) for r in rows], np.int64)
+    column = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    used = np.flatnonzero(np.bincount(column, minlength=1 << BUCKET_BITS))
+    place = np.zeros(1 << BUCKET_BITS, np.int64)
+    place[used] = np.arange(len(used))
+    column = place[column]
+    n, v, some = len(rows), len(used), np.flatnonzero(lengths)
+    starts = (np.cumsum(lengths) - lengths)[some]
+
+    def by_row(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[some] = np.add.reduceat(w[column], starts) if len(some) else 0.0
+        return out
+
+    def by_feature(x: np.ndarray) -> np.ndarray:
+        return np.bincount(column, np.repeat(x, lengths), minlength=v)
+
     share = 1 / np.bincount(grades, minlength=GRADES).clip(1)[grades]
     share /= share.sum()
-    held_back = penalty * np.sqrt(np.bincount(column, (share**2)[row], minlength=v)) + base * share.max()
-    step = 0.5 / (np.bincount(column, share[row], minlength=v).clip(1e-12) * max(1.0, lengths.mean()) ** 0.5)
+    held_back = penalty * np.sqrt(by_feature(share**2)) + base * share.max()
+    step = 0.5 / (by_feature(share).clip(1e-12) * max(1.0, lengths.mean()) ** 0.5)
     w, ahead, scores, scores_ahead = np.zeros(v), np.zeros(v), np.zeros(n), np.zeros(n)
     cut, pace, last, size = np.array([-np.log(2.0), np.log(2 * np.log(2.0))]), 1.0, np.inf, 1.0
     for _ in range(epochs):
         _, d_score, d_cut = loss_and_slopes(scores_ahead, cut, grades, share)
-        moved = ahead - size * step * np.bincount(column, d_score[row], minlength=v)
+        moved = ahead - size * step * by_feature(d_score)
         new = np.sign(moved) * np.maximum(0, np.abs(moved) - size * step * held_back)
-        new_cut = cut - 0.5 * size * d_cut
-        new_scores = np.bincount(row, new[column], minlength=n)
+        new_cut, new_scores = cut - 0.5 * size * d_cut, by_row(new)
         now = loss_and_slopes(new_scores, new_cut, grades, share)[0] + (held_back * np.abs(new)).sum()
         if now > last:  # too far: from the last point again, without what was gathered, and less far if that was no cause
             size = size if pace > 1 else size / 2
@@ -197,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows.sort(key=lambda r: r[0])
     if not rows:
         return None
-    return fit([np.frombuffer(r[2], np.int32).astype(np.int64) for r in rows], np.array([r[1] for r in rows]))
+    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]))
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
