@@ -94,9 +94,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return out
 
 
-PACKED = "sequence_id long, input_ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>, starts array<long>"
+PACKED = "sequence_id long, id_bytes int, input_ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>, starts array<long>"
 PACKED_ARROW = pa.schema([
-    ("sequence_id", pa.int64()), ("input_ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()),
+    ("sequence_id", pa.int64()), ("id_bytes", pa.int32()), ("input_ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()),
     ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())),
 ])
 
@@ -104,10 +104,10 @@ PACKED_ARROW = pa.schema([
 def pack_ids(
     docs: DataFrame, capacity: int = 4096, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 50256, pad_id: int = 50256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Rows of the id matrix. Ids and positions are little-endian, 16 bits wide where ids fit, else 32."""
-    width = "<u2" if max(end_id, pad_id, capacity) < 1 << 16 else "<u4"
+    """Rows of the id matrix. Ids and positions are little-endian, 16 bits wide where all ids of the vocabulary fit, else
+    32, as ``id_bytes`` says."""
 
-    def window(pieces: list[tuple], base: int, made: int) -> Iterator[pa.RecordBatch]:
+    def window(pieces: list[tuple], base: int, made: int, width: str) -> Iterator[pa.RecordBatch]:
         bins = best_fit_decreasing(np.array([len(p[3]) for p in pieces]), capacity)
         for a in range(0, len(bins), 256):
             rows = []
@@ -120,11 +120,12 @@ def pack_ids(
                 positions = np.zeros(capacity, width)
                 positions[:used] = np.concatenate([np.arange(n) for n in lengths])
                 cumulative = np.concatenate(([0], np.cumsum(lengths))).tolist()
-                rows.append((base + k, ids.tobytes(), used, cumulative, positions.tobytes(), [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
+                rows.append((base + k, ids.itemsize, ids.tobytes(), used, cumulative, positions.tobytes(), [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PACKED_ARROW, strict=True)], schema=PACKED_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(public_path(vocabulary))
+        width = "<u2" if max(encoding.max_token_value, end_id, pad_id, capacity) < 1 << 16 else "<u4"
         base, made = TaskContext.get().partitionId() << 36, 0
         pieces, held = [], 0
         for batch in batches:
@@ -135,12 +136,12 @@ def pack_ids(
                         pieces.append((i, piece, start, found[start : start + capacity]))
                     held += len(found)
                 if held >= WINDOW_TOKENS:
-                    for out in window(pieces, base, made):
+                    for out in window(pieces, base, made, width):
                         made += out.num_rows
                         yield out
                     pieces, held = [], 0
         if pieces:
-            yield from window(pieces, base, made)
+            yield from window(pieces, base, made, width)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PACKED)
 
@@ -148,14 +149,14 @@ def pack_ids(
 SEGMENT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, positions_ok boolean"
 
 
-def read_packed(packed: DataFrame, wide: bool = False) -> DataFrame:
+def read_packed(packed: DataFrame) -> DataFrame:
     """The segments of stored matrices: doc_id, piece, start, length, ids_crc32 (of 32-bit ids), sequence_id, offset, positions_ok."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = "<u4" if wide else "<u2"
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                width = f"<u{r['id_bytes']}"
                 ids, positions = np.frombuffer(r["input_ids"], width), np.frombuffer(r["position_ids"], width)
                 edges = r["cu_seqlens"]
                 for doc, piece, start, a, b in zip(r["doc_ids"], r["pieces"], r["starts"], edges, edges[1:], strict=False):

@@ -186,6 +186,16 @@ def test_packed_ids(spark, sf_dir):
     assert sorted((r["length"] for r in packed_ids.pack_and_read(odd).collect())) == [1, 1, 2]
 
 
+def test_ids_are_as_wide_as_the_vocabulary_needs(spark):
+    """An end id beyond 16 bits, and a very long text."""
+    d = spark.createDataFrame([(1, "some words"), (2, "word " * 9000), (2, None)], "doc_id long, text string")
+    for end, size in ((50256, 2), (70_000, 4)):
+        packed = packed_ids.pack_ids(d, end_id=end)
+        assert {r["id_bytes"] for r in packed.collect()} == {size}
+        rows = packed_ids.read_packed(packed).collect()
+        assert all(r["positions_ok"] for r in rows) and max(r["piece"] for r in rows) >= 2
+
+
 def test_room_tree_is_best_fit():
     rnd = random.Random(3)
     for capacity in (1, 7, 16, 33):
