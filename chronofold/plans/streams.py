@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import checkpoint_dir
 from ..streaming import entities
 from .base import query
 
@@ -18,12 +18,7 @@ EVENTS = "event[s].parquet"
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; in local mode a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="chronofold-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, round(epoch_us(ts) / 1e6 - coalesce(lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 3) AS gap FROM events")
