@@ -12,13 +12,14 @@ BUCKETS_TOGETHER = 1024
 
 def bucket_shifts(sizes: DataFrame, bucket: str, n: str, name: str, run: Column | None = None) -> DataFrame:
     """(bucket, name): the sum of n over all earlier buckets. Runs of buckets (BUCKETS_TOGETHER numbers, if no run is given)
-    are summed up apart, and only the sums of runs meet in one task."""
+    are summed up apart, and a row for each run is all that meets in one task."""
+    within = Window.partitionBy("_run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     runs = sizes.withColumn("_run", F.floor(F.col(bucket) / BUCKETS_TOGETHER) if run is None else run)
+    runs = runs.withColumn("_inner", F.coalesce(F.sum(n).over(within), F.lit(0)))
+    runs = runs.groupBy("_run").agg(F.collect_list(F.struct(bucket, "_inner")).alias("_of"), F.sum(n).alias("_all"))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    of_runs = runs.groupBy("_run").agg(F.sum(n).alias("_all")).select("_run", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    inner = runs.withColumn("_inner", F.coalesce(F.sum(n).over(within), F.lit(0)))
-    return inner.join(of_runs, "_run").select(bucket, (F.col("_start") + F.col("_inner")).alias(name))
+    runs = runs.withColumn("_start", F.coalesce(F.sum("_all").over(before), F.lit(0))).select("_start", F.explode("_of").alias("_b"))
+    return runs.select(F.col("_b")[bucket].alias(bucket), (F.col("_start") + F.col("_b")["_inner"]).alias(name))
 
 
 def numbered(df: DataFrame, order: list[str], bucket: Column, name: str, run: Column | None = None) -> DataFrame:
