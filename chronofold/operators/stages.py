@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sum, sliced
+from .temporal import chunk_by_number
+
+#: Partitions that can be grouped by cost: their costs are brought to the driver.
+MOST_PARTITIONS = 1 << 20
+
 
 def novelty(planned: DataFrame, entity: str) -> DataFrame:
     """(partition_id, distinct, new): entities of each partition, and those that no earlier partition has."""
@@ -31,48 +38,63 @@ def partition_costs(planned: DataFrame, user_weight: float = 0.25, item_weight:
 
 def group_by_count(metadata: DataFrame, stages: int) -> DataFrame:
     """Adds stage: near-equal runs of partitions in order of time. metadata has a row a partition."""
-    return metadata.withColumn("stage", F.ntile(stages).over(Window.orderBy("start_ts", "partition_id")) - 1)
+    place = running_sum(sliced(metadata, F.col("start_ts")), ["start_ts", "partition_id"], "_n", F.lit(1))
+    return place.withColumn("stage", chunk_by_number(F.col("_n") - 1, metadata.count(), stages)).drop("_n", "_slice")
 
 
 def balanced_cuts(costs: list[float], stages: int) -> list[int] | None:
     """Ends of contiguous groups with the least sum of squared distances from the mean cost; None if there are too few.
 
-    Among equal sums the earliest cuts are taken, the last group's first.
+    Among equal sums the earliest cuts are taken, the last group's first. As costs are positive, the best start of a last
+    group never moves back when its end moves on, so half of the ends leave each half of the starts to look at: n log n
+    sums for each group.
     """
     n = len(costs)
     if stages < 1 or n < stages:
         return None
-    prefix = [0.0]
-    for c in costs:
-        prefix.append(prefix[-1] + c)
+    prefix = np.concatenate(([0.0], np.cumsum(np.asarray(costs, float))))
     target = prefix[-1] / stages
-    best = {(0, 0): (0.0, -1)}
+    best = np.full(n + 1, np.inf)
+    best[0] = 0.0
+    starts = []
     for s in range(1, stages + 1):
-        for end in range(s, n - (stages - s) + 1):
-            found = None
-            for start in range(s - 1, end):
-                if (s - 1, start) in best:
-                    sum_ = best[s - 1, start][0] + (prefix[end] - prefix[start] - target) ** 2
-                    if found is None or sum_ < found[0]:
-                        found = (sum_, start)
-            if found:
-                best[s, end] = found
+        least, start = np.full(n + 1, np.inf), np.zeros(n + 1, np.int32)
+        ranges = [(s, n - (stages - s), s - 1, n)]  # of ends, and of the starts that they can have
+        while ranges:
+            low, high, first, last = ranges.pop()
+            if low <= high:
+                end = (low + high) // 2
+                of = slice(first, min(last, end - 1) + 1)
+                sums = best[of] + (prefix[end] - prefix[of] - target) ** 2
+                at = first + int(np.argmin(sums))
+                least[end], start[end] = sums[at - first], at
+                ranges += [(low, end - 1, first, at), (end + 1, high, at, last)]
+        best = least
+        starts.append(start)
     ends, at = [], n
-    for s in range(stages, 0, -1):
+    for start in starts[::-1]:
         ends.append(at)
-        at = best[s, at][1]
+        at = int(start[at])
     return ends[::-1]
 
 
 def group_by_cost(costs: DataFrame, stages: int) -> DataFrame:
-    """Adds stage: contiguous partitions with balanced costs. The list of partitions is small: one row for many events."""
-    order = costs.select("partition_id", "cost", "start_ts").orderBy("start_ts", "partition_id").collect()
-    ends = balanced_cuts([r["cost"] for r in order], stages)
+    """Adds stage: contiguous partitions with balanced costs.
+
+    A row for each partition is brought to the driver, MOST_PARTITIONS at most; a plan of more partitions is refused, and
+    needs larger ones. What goes back are the first partitions of the stages.
+    """
+    order = costs.select("start_ts", "partition_id", "cost").limit(MOST_PARTITIONS + 1).toPandas().sort_values(["start_ts", "partition_id"])
+    if len(order) > MOST_PARTITIONS:
+        raise ValueError(f"more than {MOST_PARTITIONS} partitions to group: make them larger")
+    ends = balanced_cuts(order["cost"].tolist(), stages)
     if ends is None:
         return group_by_count(costs, stages)
-    stage = [next(s for s, e in enumerate(ends) if i < e) for i in range(len(order))]
-    of = costs.sparkSession.createDataFrame([(r["partition_id"], s) for r, s in zip(order, stage, strict=True)], "partition_id int, stage int")
-    return costs.join(of, "partition_id")
+    at = F.struct("start_ts", "partition_id")
+    stage = F.lit(0)
+    for row in order.iloc[ends[:-1]].itertuples():
+        stage = stage + (at >= F.struct(F.lit(row.start_ts), F.lit(int(row.partition_id)))).cast("int")
+    return costs.withColumn("stage", stage)
 
 
 def stage_summary(staged: DataFrame) -> DataFrame:

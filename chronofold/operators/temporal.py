@@ -83,11 +83,12 @@ def chunk_by_size(place: Column, size: int) -> Column:
     return F.floor(place / size).cast("int")
 
 
-def chunk_by_number(place: Column, n: int, chunks: int) -> Column:
+def chunk_by_number(place: Column, n: int | Column, chunks: int) -> Column:
     """One of near-equal chunks, larger ones first, from the place among n rows: ntile without a sort."""
-    small, larger = divmod(n, chunks)
+    n = F.lit(n) if isinstance(n, int) else n
+    small, larger = F.floor(n / chunks), n % chunks
     edge = larger * (small + 1)
-    tail = F.lit(larger) + F.floor((place - edge) / max(small, 1))
+    tail = larger + F.floor((place - edge) / F.greatest(small, F.lit(1)))
     return F.when(place < edge, F.floor(place / (small + 1))).otherwise(tail).cast("int")
 
 
@@ -113,5 +114,8 @@ def partition_metadata(planned: DataFrame) -> DataFrame:
 
 
 def worker_chunks(planned: DataFrame, workers: int, seq: str = "event_seq") -> DataFrame:
-    """Adds the worker that takes each event of a partition: near-equal runs of events."""
-    return planned.withColumn("worker", F.ntile(workers).over(Window.partitionBy("partition_id").orderBy(seq)) - 1)
+    """Adds the worker that takes each event of a partition: near-equal runs of events. Partitions are whole, so the place of
+    an event follows from its number, and only the first number and the size of each partition are looked up."""
+    size = planned.groupBy("partition_id").agg(F.min(seq).alias("_first"), F.count("*").alias("_n"))
+    rows = planned.join(size, "partition_id")
+    return rows.withColumn("worker", chunk_by_number(F.col(seq) - F.col("_first"), F.col("_n"), workers)).drop("_first", "_n")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .running import following, running_sum, sliced
 
 KEY = ["trial", "stage"]
 
@@ -38,8 +39,8 @@ def concurrency_steps(tasks: DataFrame) -> DataFrame:
     """(t, until, running): the exact number of running tasks between neighbouring starts and ends, by a sweep line."""
     change = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))))
     steps = tasks.select(change.alias("c")).groupBy("c.t").agg(F.sum("c.d").alias("d"))
-    order = Window.orderBy("t")
-    steps = steps.withColumn("running", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("t").over(order))
+    steps = sliced(steps, F.col("t"))
+    steps = following(running_sum(steps, ["t"], "running", F.col("d")), "t", "until")
     return steps.filter("until is not null").select("t", "until", "running")
 
 
@@ -62,8 +63,8 @@ def sampled_concurrency(tasks: DataFrame, step: float) -> DataFrame:
     at = lambda c: F.ceil((F.col(c) - F.col("t0")) / step)
     change = F.explode(F.array(F.struct(at("start").alias("sample"), F.lit(1).alias("d")), F.struct(at("end").alias("sample"), F.lit(-1).alias("d"))))
     changes = placed.select(change.alias("c")).groupBy("c.sample").agg(F.sum("c.d").alias("d"))
-    order = Window.orderBy("sample").rowsBetween(Window.unboundedPreceding, 0)
-    return samples.join(changes, "sample", "left").select("sample", F.sum(F.coalesce("d", F.lit(0))).over(order).alias("running"))
+    rows = sliced(samples.join(changes, "sample", "left"), F.col("sample"))
+    return running_sum(rows, ["sample"], "running", F.coalesce("d", F.lit(0))).select("sample", "running")
 
 
 def device_efficiency(tasks: DataFrame, devices: int) -> DataFrame:
@@ -119,13 +120,29 @@ def recommendations(measures: DataFrame) -> DataFrame:
 
 
 def monitor_bundle(tasks: DataFrame, devices: int, step: float = 0.5) -> DataFrame:
-    """One row with all measures of a trace."""
+    """One row with all measures of a trace: those of the functions above, of one reading of the tasks but for the samples."""
     sampled = sampled_concurrency(tasks, step).agg(F.avg("running").alias("avg_concurrent"), F.max("running").alias("max_concurrent"))
-    stages = stage_utilisation(tasks).agg(F.avg("utilisation").alias("avg_stage_util"), F.max("utilisation").alias("max_stage_util"), F.min("utilisation").alias("min_stage_utilisation"))
-    out = sampled
-    for part in (device_efficiency(tasks, devices), stages, trial_throughput(tasks), pipeline_speedup(tasks), bottleneck(tasks).withColumnRenamed("stage", "bottleneck_stage")):
-        out = out.join(F.broadcast(part), F.lit(True))  # one row each
-    return out.withColumn("utilisation", F.col("avg_concurrent") / devices)
+    took = F.col("end") - F.col("start")
+    whole = (F.grouping("stage") == 1).alias("whole")
+    sums = tasks.groupingSets([["stage"], []], "stage").agg(
+        whole, F.count("*").alias("n"), F.sum(took).alias("busy"), F.avg(took).alias("mean"), (F.max("end") - F.min("start")).alias("wall"), (F.max("end") - F.min("end")).alias("ends"),
+        F.sum(F.when(F.col("trial") == 0, took)).alias("base"), F.countDistinct("trial").alias("trials"),
+    )
+    of_all, of_stage = (lambda c: F.max(F.when(F.col("whole"), F.col(c)))), (lambda c: F.when(~F.col("whole"), c))
+    used = of_stage(F.col("busy") / F.nullif(F.col("wall"), F.lit(0.0)))
+    last = F.max_by(F.struct("n", "ends"), of_stage(F.col("stage")))
+    means = of_stage(F.col("mean"))
+    row = sums.agg(
+        of_all("busy").alias("busy_s"), of_all("wall").alias("wall_s"), F.avg(used).alias("avg_stage_util"), F.max(used).alias("max_stage_util"), F.min(used).alias("min_stage_utilisation"),
+        last.alias("_last"), of_all("trials").alias("trials"), of_all("base").alias("baseline_s"),
+        F.max_by("stage", of_stage(F.struct(F.col("mean"), -F.col("stage")))).alias("bottleneck_stage"), F.max(means).alias("mean_s"), (F.max(means) / F.greatest(F.min(means), F.lit(0.001))).alias("imbalance"),
+    )
+    n, ends, wall = F.col("_last.n"), F.col("_last.ends"), F.nullif(F.col("wall_s"), F.lit(0.0))
+    row = row.withColumns({
+        "efficiency": F.col("busy_s") / (wall * devices), "completed": F.coalesce(n, F.lit(0)), "throughput": F.when((F.coalesce(n, F.lit(0)) < 2) | (ends <= 0), 0.0).otherwise(n / ends),
+        "actual_s": F.col("wall_s"), "speedup": F.col("baseline_s") * F.col("trials") / wall,
+    }).withColumn("speedup_efficiency", F.col("speedup") / F.col("trials")).drop("_last")
+    return sampled.join(F.broadcast(row), F.lit(True)).withColumn("utilisation", F.col("avg_concurrent") / devices)  # one row each
 
 
 def summary(samples: DataFrame, columns: list[str]) -> DataFrame:
@@ -159,4 +176,5 @@ def active_by_stage(trace: DataFrame) -> DataFrame:
 
 def with_bars(df: DataFrame, value: str, width: int = 20) -> DataFrame:
     """Adds a bar that shows value against the largest one."""
-    return df.withColumn("bar", scalars.bar(F.col(value), F.max(value).over(Window.partitionBy()), width))
+    most = df.agg(F.max(value).alias("_most"))  # one row
+    return df.join(F.broadcast(most), F.lit(True)).withColumn("bar", scalars.bar(F.col(value), F.col("_most"), width)).drop("_most")

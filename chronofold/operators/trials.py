@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .running import running_max, running_sum, sliced
 
 
 def order() -> list[Column]:
@@ -18,7 +19,8 @@ def order() -> list[Column]:
 
 def leaderboard(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds rank from 1, within each group of by (such as the split that was scored)."""
-    return results.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order())))
+    ranked = running_sum(sliced(results, F.col("score"), descending=True), order(), "rank", F.lit(1), by or [])
+    return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_slice")
 
 
 def top(results: DataFrame, k: int) -> DataFrame:
@@ -36,8 +38,8 @@ def family_balanced(results: DataFrame, k: int, least: int = 1) -> DataFrame:
 
 def running_best(results: DataFrame, position: str) -> DataFrame:
     """Adds best_so_far: the largest score up to each trial, at least 0."""
-    w = Window.orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return results.withColumn("best_so_far", F.greatest(F.lit(0.0), F.max("score").over(w)))
+    best = running_max(sliced(results, F.col(position)), [position], "best_so_far", F.col("score"))
+    return best.withColumn("best_so_far", F.greatest(F.lit(0.0), "best_so_far")).drop("_slice")
 
 
 def convergence(results: DataFrame, ended: str) -> DataFrame:
@@ -143,7 +145,7 @@ def throughput(runs: DataFrame) -> DataFrame:
 
 def every_nth(df: DataFrame, position: str, step: int) -> DataFrame:
     """Rows 1, 1 + step, 1 + 2 step, ... in order."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(position))).filter(F.col("_n") % step == 1 % step).drop("_n")
+    return running_sum(sliced(df, F.col(position)), [position], "_n", F.lit(1)).filter(F.col("_n") % step == 1 % step).drop("_n", "_slice")
 
 
 def last_rows(df: DataFrame, position: str, n: int) -> DataFrame:

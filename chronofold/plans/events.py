@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
 from ..operators import stages, temporal
+from ..operators.running import running_max, sliced
 from ..sources import interactions
 from . import base
 from .base import query
@@ -199,10 +200,6 @@ def epoch_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events arrive an hour or more behind the latest before them: what a watermark would drop."""
     e = interactions.from_events(spark, sf_dir)
-    days = e.withColumn("_day", F.floor(F.col("line_no") / 4096))
-    most = days.groupBy("_day").agg(F.max("ts").alias("_most"))
-    before = most.withColumn("_before", F.max("_most").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.max("ts").over(Window.partitionBy("_day").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = days.withColumn("_in", inside).join(before.drop("_most"), "_day")
-    mark = F.greatest("_in", F.coalesce("_before", "_in")) - 3600
+    rows = running_max(sliced(e, F.col("line_no")), ["line_no"], "_latest", F.col("ts"))
+    mark = F.col("_latest") - 3600
     return rows.select(F.col("line_no").alias("event_id"), (F.col("ts") < mark).alias("late"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import running_max, sliced
+
 EFFICIENCY = (
     "timestamp string, elapsed_time_s double, wall_time double, avg_concurrent_gpus double, gpu_util_ratio double, gpu_efficiency double, "
     "avg_stage_util double, max_stage_util double, trial_throughput double, pipeline_speedup double, speedup_efficiency double, num_completed_tasks int"
@@ -114,9 +116,10 @@ def report_sections(lines: DataFrame) -> DataFrame:
     lines: seq, value such as "epoch 3" or "val mrr 0.5".
     """
     epoch = F.nullif(F.regexp_extract("value", r"(?i)epoch\D*(\d+)", 1), F.lit("")).cast("int")
-    section = F.last(epoch, ignorenulls=True).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    opened = F.when(epoch.isNotNull(), F.struct("seq", epoch.alias("epoch")))  # the last one is the largest one
+    lines = running_max(sliced(lines, F.col("seq")), ["seq"], "section", opened)
     pattern = r"(?i)(val|test)\w*\s+(mrr|rec@10)\D*\s([\d.]+)\s*$"
-    rows = lines.select(section.alias("epoch"), *[F.lower(F.regexp_extract("value", pattern, i)).alias(n) for i, n in ((1, "split"), (2, "metric"), (3, "text"))])
+    rows = lines.select("section.epoch", *[F.lower(F.regexp_extract("value", pattern, i)).alias(n) for i, n in ((1, "split"), (2, "metric"), (3, "text"))])
     return rows.filter("text <> '' and epoch is not null").select("epoch", "split", "metric", F.col("text").cast("double").alias("value"))
 
 

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalars, vectors
-from chronofold.operators import distributed, graph, ranking, stages, temporal, traces, trials
+from chronofold.operators import distributed, graph, ranking, running, stages, temporal, traces, trials
 from chronofold.sources import interactions, logs
 
 TINY = ["0,0,1.0,0,0.1,0.2,0.3", "1,1,2.0,0,0.0,0.5,0.1", "0,1,3.0,0,0.2,0.1,0.0", "1,0,4.0,0,0.4,0.2,0.2", "2,1,5.0,0,0.3,0.3,0.3", "2,0,6.0,0,0.1,0.4,0.2"]
@@ -228,3 +229,42 @@ def test_synthetic_stream(spark):
     liked = {r["user_id"]: r["types"] for r in interactions.synthetic_preferences(spark, 20).collect()}
     kinds = {r["item_id"]: r["type"] for r in interactions.synthetic_items(spark, 30).collect()}
     assert sum(kinds[r["item_id"]] in liked[r["user_id"]] for r in rows) > 50
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_values_match_one_window(spark, descending):
+    rnd = random.Random(5)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 3.0, 3.0]
+    rows = [(i, rnd.choice("ab"), k, rnd.randint(-9, 9)) for i, k in enumerate([rnd.choice([*odd, rnd.random()]) for _ in range(90)])]
+    rows += [(len(rows) + i, None, 3.0, i) for i in range(5)]
+    d = spark.createDataFrame(rows, "id long, g string, k double, v long").repartition(5)
+    order = [F.col("k").desc() if descending else F.col("k").asc(), F.col("id")]
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = d.withColumn("s", F.sum("v").over(w)).withColumn("m", F.max("v").over(w)).select("id", "s", "m")
+    cut = running.sliced(d, F.col("k"), descending)
+    assert cut.select("_slice").distinct().count() > 3
+    got = running.running_max(running.running_sum(cut, order, "s", F.col("v"), ["g"]), order, "m", F.col("v"), ["g"]).select("id", "s", "m")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    whole = d.withColumn("n", F.row_number().over(Window.orderBy(*order))).select("id", "n")
+    got = running.running_sum(cut, order, "n", F.lit(1)).select("id", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert running.running_sum(running.sliced(d.limit(0), F.col("k")), order, "n", F.lit(1)).count() == 0
+
+
+def test_following_key(spark):
+    keys = random.Random(2).sample(range(1000), 70)
+    d = running.sliced(spark.createDataFrame([(k,) for k in keys], "k long").repartition(3), F.col("k"))
+    keys.sort()
+    assert {r["k"]: r["n"] for r in running.following(d, "k", "n").collect()} == dict(zip(keys, [*keys[1:], None], strict=True))
+
+
+def test_balanced_cuts_of_many_partitions():
+    costs = [random.Random(i).randint(1, 50) for i in range(20000)]
+    ends = stages.balanced_cuts(costs, 8)
+    sums = [sum(costs[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    assert ends[-1] == len(costs) and max(sums) - min(sums) <= 100
+
+
+def test_bars_show_the_largest(spark):
+    d = spark.createDataFrame([("a", 10.0), ("b", 5.0), ("c", 0.0), ("d", None)], "k string, v double")
+    assert {r["k"]: len(r["bar"]) for r in traces.with_bars(d, "v", 10).collect()} == {"a": 10, "b": 5, "c": 0, "d": 0}
