@@ -1,7 +1,8 @@
 """Running values over a whole table that never meets in one task.
 
 A table is cut into slices of a number, as many as a shuffle has partitions, at quantiles that are counted first (an
-action). A slice is one task's work; what earlier slices add up to is a row for each slice.
+action). A slice is one task's work; what earlier slices add up to is a row for each slice. As the rows are read for the
+quantiles, the sums of slices and the result, they are checkpointed, and what they come from is worked out once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 
 def sliced(df: DataFrame, key: Column, descending: bool = False) -> DataFrame:
     """Adds _slice, which never decreases along key: nulls first and NaN last, the other way round if descending.
@@ -20,7 +23,7 @@ def sliced(df: DataFrame, key: Column, descending: bool = False) -> DataFrame:
     Rows of equal key share a slice, so a key should tell most rows apart.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("_key", key.cast("double"))
+    rows = checkpointed(df.withColumn("_key", key.cast("double")))
     cuts = rows.approxQuantile("_key", [i / slices for i in range(1, slices)], 0.25 / slices) if slices > 1 else []
     cuts = [c for c in sorted(set(cuts)) if abs(c) != float("inf")]
     if cuts:

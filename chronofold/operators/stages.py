@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .running import running_sum, sliced
+from .shared import checkpointed
 from .temporal import chunk_by_number
 
 #: Partitions that can be grouped by cost: their costs are brought to the driver.
@@ -38,8 +39,9 @@ def partition_costs(planned: DataFrame, user_weight: float = 0.25, item_weight:
 
 def group_by_count(metadata: DataFrame, stages: int) -> DataFrame:
     """Adds stage: near-equal runs of partitions in order of time. metadata has a row a partition."""
-    place = running_sum(sliced(metadata, F.col("start_ts")), ["start_ts", "partition_id"], "_n", F.lit(1))
-    return place.withColumn("stage", chunk_by_number(F.col("_n") - 1, metadata.count(), stages)).drop("_n", "_slice")
+    rows = sliced(metadata, F.col("start_ts"))
+    place = running_sum(rows, ["start_ts", "partition_id"], "_n", F.lit(1))
+    return place.withColumn("stage", chunk_by_number(F.col("_n") - 1, rows.count(), stages)).drop("_n", "_slice")
 
 
 def balanced_cuts(costs: list[float], stages: int) -> list[int] | None:
@@ -84,6 +86,7 @@ def group_by_cost(costs: DataFrame, stages: int) -> DataFrame:
     A row for each partition is brought to the driver, MOST_PARTITIONS at most; a plan of more partitions is refused, and
     needs larger ones. What goes back are the first partitions of the stages.
     """
+    costs = checkpointed(costs)
     order = costs.select("start_ts", "partition_id", "cost").limit(MOST_PARTITIONS + 1).toPandas().sort_values(["start_ts", "partition_id"])
     if len(order) > MOST_PARTITIONS:
         raise ValueError(f"more than {MOST_PARTITIONS} partitions to group: make them larger")

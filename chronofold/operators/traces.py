@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from .running import following, running_sum, sliced
+from .shared import checkpointed
 
 KEY = ["trial", "stage"]
 
@@ -121,6 +122,7 @@ def recommendations(measures: DataFrame) -> DataFrame:
 
 def monitor_bundle(tasks: DataFrame, devices: int, step: float = 0.5) -> DataFrame:
     """One row with all measures of a trace: those of the functions above, of one reading of the tasks but for the samples."""
+    tasks = checkpointed(tasks)
     sampled = sampled_concurrency(tasks, step).agg(F.avg("running").alias("avg_concurrent"), F.max("running").alias("max_concurrent"))
     took = F.col("end") - F.col("start")
     whole = (F.grouping("stage") == 1).alias("whole")
