@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import best_fit_packing
 from .chat import chat_round_trip
+from .collocations import collocations
 from .common import table
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
@@ -65,8 +66,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup, op10_suffix_dedup]
+    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup, op10_suffix_dedup, op11_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -89,4 +94,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
             FROM t WINDOW w AS (PARTITION BY h)""",
+            "op11_collocations": r"""
+            WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+            p AS (SELECT lang, list_filter(string_split_regex(unnest(ps), '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+            g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM p, range(1, 5) r(m) WHERE len(ws) >= m),
+            f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+            t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+            c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
+            k AS (SELECT *, array_to_string(ws[:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+            s AS (SELECT k.lang, k.phrase, k.m, k.ws, k.a, k.k, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * k.a) // (l.a + r.a) AS BIGINT) AS score
+                  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.lp JOIN f r ON r.lang = k.lang AND r.phrase = k.rp),
+            b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+            x AS (SELECT lang, a, array_to_string(ws[i:i + w - 1], ' ') AS inner_phrase FROM (SELECT *, unnest(range(1, m - w + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS w FROM c))),
+            o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = b.lang AND x.inner_phrase = b.phrase AND 100 * x.a >= 80 * b.a)),
+            q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+            SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000""",
     }
