@@ -16,6 +16,7 @@ from .packed_ids import pack_and_read
 from .phrase_dedup import phrase_dedup
 from .quality import quality_classifier
 from .simhash_dedup import simhash_dedup
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .warc import warc_round_trip
 
@@ -70,8 +71,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup, op10_suffix_dedup, op11_collocations]
+    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup, op10_suffix_dedup, op11_collocations, op12_spelling_variants]
     return {f.__name__: f for f in found}
 
 
@@ -109,4 +114,22 @@ def oracle_sql() -> dict[str, str]:
             o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = b.lang AND x.inner_phrase = b.phrase AND 100 * x.a >= 80 * b.a)),
             q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
             SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000""",
+            "op12_spelling_variants": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+            x AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS x, run, count(*) AS c FROM d GROUP BY ALL),
+            -- the table of the checksum from its rule, and the checksum of each string of bytes
+            crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+            b AS (SELECT x.*, list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(x) + 1), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i - 1, 2) AS BIGINT))) AS bytes FROM x),
+            h AS (SELECT run, c, xor(list_reduce(bytes, lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)])), 4294967295) AS h FROM b, crc),
+            w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM h),
+            v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+            dl AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+            np AS (SELECT a.word, o.word AS near FROM dl a JOIN dl o ON a.i = o.i AND a.rest = o.rest AND a.word <> o.word
+                   UNION SELECT dl.word, v.word FROM dl JOIN v ON v.word = dl.rest UNION SELECT v.word, dl.word FROM dl JOIN v ON v.word = dl.rest),
+            nb AS (SELECT np.word, near, v.n AS near_n, count(*) OVER (PARTITION BY np.word) AS n_near, row_number() OVER (PARTITION BY np.word ORDER BY v.n DESC, near) AS place FROM np JOIN v ON v.word = np.near),
+            f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+                  FROM v LEFT JOIN nb ON nb.word = v.word AND place = 1),
+            g AS (SELECT word, word AS at FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at WHERE f.form IS NOT NULL),
+            e AS (SELECT g.word, g.at AS root FROM g JOIN f ON f.word = g.at WHERE f.form IS NULL)
+            SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)""",
     }
