@@ -14,6 +14,7 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .packed_ids import pack_and_read
 from .phrase_dedup import phrase_dedup
+from .private_data import private_data
 from .quality import quality_classifier
 from .simhash_dedup import simhash_dedup
 from .spelling import spelling_variants
@@ -75,8 +76,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup, op10_suffix_dedup, op11_collocations, op12_spelling_variants]
+    found = [op1_quality_classifier, op2_best_fit_packing, op3_simhash_dedup, op4_decontamination, op5_phrase_dedup, op6_chat_formatting, op7_packed_token_ids, op8_warc, op9_exact_dedup, op10_suffix_dedup, op11_collocations, op12_spelling_variants, op13_private_data]
     return {f.__name__: f for f in found}
 
 
