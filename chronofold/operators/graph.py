@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
+from . import history
+from .history import SLICE_EVENTS
 
 
 def doubled_edges(events: DataFrame, users: int) -> DataFrame:
@@ -16,36 +18,39 @@ def doubled_edges(events: DataFrame, users: int) -> DataFrame:
     return events.select(ends.alias("e"), "ts", "event_seq").select("e.src", "e.dst", "ts", "event_seq")
 
 
-def recent_neighbours(edges: DataFrame, k: int) -> DataFrame:
-    """Adds the last k neighbours of src before each event, oldest first, repeats kept."""
-    w = Window.partitionBy("src").orderBy("event_seq").rowsBetween(-k, -1)
-    return edges.withColumn("neighbours", F.collect_list("dst").over(w))
+def _step(size: int) -> Column:
+    """Events in a row, as many as a slice of a history has."""
+    return F.floor(F.col("event_seq") / size)
 
 
-def recent_edges(edges: DataFrame, k: int) -> DataFrame:
+def recent_neighbours(edges: DataFrame, k: int, size: int = SLICE_EVENTS) -> DataFrame:
+    """Adds the last k neighbours of src before each event, oldest first, repeats kept. size: of the slices that a busy node's
+    events are cut into."""
+    return history.last_entries(edges, ["src"], "event_seq", _step(size), F.col("dst"), k, "neighbours", size)
+
+
+def recent_edges(edges: DataFrame, k: int, size: int = SLICE_EVENTS) -> DataFrame:
     """Adds the last k edges of src before each event as (dst, ts), oldest first."""
-    w = Window.partitionBy("src").orderBy("event_seq").rowsBetween(-k, -1)
-    return edges.withColumn("recent", F.collect_list(F.struct("dst", "ts")).over(w))
+    return history.last_entries(edges, ["src"], "event_seq", _step(size), F.struct("dst", "ts"), k, "recent", size)
 
 
-def with_edge_history(edges: DataFrame) -> DataFrame:
+def with_edge_history(edges: DataFrame, size: int = SLICE_EVENTS) -> DataFrame:
     """Adds last_time (of the same ordered pair, null for none) and weight (its events so far)."""
-    w = Window.partitionBy("src", "dst").orderBy("event_seq")
-    return edges.withColumn("last_time", F.lag("ts").over(w)).withColumn("weight", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return history.previous(edges, ["src", "dst"], "event_seq", _step(size), F.col("ts"), "last_time", "weight", size)
 
 
-def time_gap(events: DataFrame, entity: str, name: str, initial: float = 0.0) -> DataFrame:
+def time_gap(events: DataFrame, entity: str, name: str, initial: float = 0.0, size: int = SLICE_EVENTS) -> DataFrame:
     """Adds the time since the entity's previous event; its state starts at initial."""
-    w = Window.partitionBy(entity).orderBy("event_seq")
-    return events.withColumn(name, F.col("ts") - F.coalesce(F.lag("ts").over(w), F.lit(initial)))
+    found = history.previous(events, [entity], "event_seq", _step(size), F.col("ts"), "_before", size=size)
+    return found.withColumn(name, F.col("ts") - F.coalesce("_before", F.lit(initial))).drop("_before")
 
 
-def query_gap(events: DataFrame, states: DataFrame, entity: str, query_ts: str, name: str) -> DataFrame:
-    """Time from an entity's last event at or before the query, an as-of join by union and window."""
+def query_gap(events: DataFrame, states: DataFrame, entity: str, query_ts: str, name: str, size: int = SLICE_EVENTS, seconds: float = 60.0) -> DataFrame:
+    """Time from an entity's last event at or before the query, an as-of join by union and window. What an entity has in so
+    many seconds is not cut."""
     marks = events.select(entity, F.col("ts").alias("_t"), F.lit(0).alias("_kind"), F.col("ts").alias("_seen"), F.lit(None).cast("long").alias("query_id"))
     asks = states.select(entity, F.col(query_ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_seen"), F.col("query_id").cast("long"))
-    w = Window.partitionBy(entity).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(asks).withColumn("_last", F.last("_seen", ignorenulls=True).over(w))
+    both = history.latest(marks.unionByName(asks), [entity], ["_t", "_kind"], F.floor(F.col("_t") / seconds), F.col("_seen"), "_last", size)
     return both.filter("_kind = 1").select("query_id", entity, (F.col("_t") - F.coalesce("_last", F.lit(0.0))).alias(name))
 
 
