@@ -1,8 +1,9 @@
 """Ranking of items by distance, recall and reciprocal rank.
 
-A prediction is a vector with a number (pid); events that predict the same vector share its distances, so they are
-worked out once for each vector and item, by numpy over Arrow batches against a catalogue that is broadcast after its
-bytes have been checked. A larger catalogue is dealt in blocks.
+A prediction is a vector with a number (pid); events that predict the same vector share its distances. Distances come
+from inner products of Arrow matrices, and are taken again from the differences of the vectors where that can decide, so
+equal vectors are equally far and ties go to the smaller number. A catalogue whose bytes, which are checked, are few is
+broadcast; a larger one is searched in the blocks of ``catalogue``.
 """
 
 from __future__ import annotations
@@ -13,101 +14,70 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from ..functions import vectors
+from . import catalogue
+from .catalogue import closest, matrix, nearer
 
 #: Bytes of the vectors of a catalogue that may be sent to every task.
 MAX_CATALOGUE_BYTES = 64 << 20
-#: Numbers in the differences of vectors that are held at once.
-NUMBERS_AT_ONCE = 1 << 20
+#: Distances that are held at once.
+NUMBERS_AT_ONCE = 1 << 22
 
 
-def catalogue_blocks(items: DataFrame) -> int:
-    """In how many parts the catalogue (item, vector) has to be dealt so that one may be broadcast."""
-    size = items.agg(F.coalesce(F.sum(8 * F.size("vector") + 16), F.lit(0))).first()[0]
-    return max(1, -(-size // MAX_CATALOGUE_BYTES))
+def catalogue_bytes(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum(8 * F.size("vector") + 16), F.lit(0))).first()[0]
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
-
-
-def _distances(asked: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Euclidean distances, each from its own differences, so equal vectors are equally far."""
-    return np.sqrt(((asked[:, None, :] - known[None, :, :]) ** 2).sum(2))
-
-
-def _by_batches(predictions: DataFrame, items: DataFrame, work, schema: str) -> DataFrame:
-    """work(ids, rows, distances, batch) over predictions (pid, pred, ...), some hundred at a time, against all items, which
-    have been checked to be few; they are in the order of their numbers."""
+def _by_batches(asked: DataFrame, items: DataFrame, work, schema: str) -> DataFrame:
+    """work(ids, known, asked, batch) over rows with a vector (pred), some at a time, against all items, which have been
+    checked to be few; they are in the order of their numbers."""
     known = items.select("item", "vector").orderBy("item").toArrow()
     ids = known.column("item").to_numpy()
-    held = items.sparkSession.sparkContext.broadcast((ids, _matrix(known.column("vector").combine_chunks()) if len(ids) else None))
+    held = items.sparkSession.sparkContext.broadcast((ids, matrix(known.column("vector").combine_chunks()) if len(ids) else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = held.value
+        ids, known = held.value
         for batch in batches:
-            if matrix is None or not batch.num_rows:
+            if known is None or not batch.num_rows:
                 continue
-            asked = _matrix(batch.column(batch.schema.get_field_index("pred")))
-            step = max(1, NUMBERS_AT_ONCE // matrix.size)
-            for a in range(0, len(asked), step):
-                yield work(ids, _distances(asked[a : a + step], matrix), batch.slice(a, step))
+            step = max(1, NUMBERS_AT_ONCE // len(known))
+            for a in range(0, batch.num_rows, step):
+                some = batch.slice(a, step)
+                yield work(ids, known, matrix(some.column("pred")), some)
 
-    return predictions.mapInArrow(run, schema)
-
-
-def with_blocks(predictions: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
-    """Every prediction beside every item, with dist: predictions are repeated for each block of the catalogue and joined
-    on its number, so no task holds more than a block."""
-    dealt = items.withColumn("_block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    spread = predictions.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return spread.join(dealt, "_block").drop("_block").withColumn("dist", vectors.l2_distance("pred", "vector"))
+    return asked.mapInArrow(run, schema)
 
 
 def true_ranks(predictions: DataFrame, items: DataFrame) -> DataFrame:
     """(pid, true_item, rank) of each distinct pair: one more than the items that are nearer to the vector of pid than the
     true one, or as near with a smaller number. predictions: pid, pred, true_item. items: item, vector."""
-    asked = predictions.groupBy("pid").agg(F.first("pred").alias("pred"), F.collect_set("true_item").alias("true_items"))
-    blocks = catalogue_blocks(items)
-    if blocks > 1:
-        own = items.select(F.col("item").alias("true_item"), F.col("vector").alias("_true"))
-        pairs = asked.select("pid", "pred", F.explode("true_items").alias("true_item")).join(own, "true_item")
-        pairs = pairs.withColumn("true_dist", vectors.l2_distance("pred", "_true")).drop("_true")
-        nearer = (F.col("dist") < F.col("true_dist")) | ((F.col("dist") == F.col("true_dist")) & (F.col("item") < F.col("true_item")))
-        return with_blocks(pairs, items, blocks).groupBy("pid", "true_item").agg((F.sum(nearer.cast("long")) + 1).alias("rank"))
-
-    def work(ids: np.ndarray, dist: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column("true_items")
-        row = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
-        wanted = column.flatten().to_numpy()
+    if catalogue_bytes(items) > MAX_CATALOGUE_BYTES:
+        return catalogue.Blocks.of(items).true_ranks(predictions)
+    asked = predictions.groupBy("pid", "true_item").agg(F.first("pred").alias("pred"))
+
+    def work(ids: np.ndarray, known: np.ndarray, asked: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        wanted = batch.column("true_item").to_numpy()
         place = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
         there = ids[place] == wanted
-        row, wanted, place = row[there], wanted[there], place[there]
-        ranks = np.empty(dist.shape, np.int64)
-        np.put_along_axis(ranks, np.argsort(dist, axis=1, kind="stable"), np.arange(1, len(ids) + 1)[None, :], 1)  # ties by number
-        pids = batch.column("pid").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(pids[row]), pa.array(wanted), pa.array(ranks[row, place])], names=["pid", "true_item", "rank"])
+        asked, wanted, own = asked[there], wanted[there], known[place[there]]
+        far = np.sqrt(((asked - own) ** 2).sum(1))
+        columns = [batch.column("pid").filter(pa.array(there)), pa.array(wanted), pa.array(1 + nearer(asked, wanted, far, ids, known))]
+        return pa.RecordBatch.from_arrays(columns, names=["pid", "true_item", "rank"])
 
     return _by_batches(asked, items, work, "pid long, true_item long, rank long")
 
 
 def nearest(predictions: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(pid, item, place): the k nearest items of each distinct vector, places from 1, ties by number. predictions: pid, pred."""
+    if catalogue_bytes(items) > MAX_CATALOGUE_BYTES:
+        return catalogue.Blocks.of(items).nearest(predictions, k)
     asked = predictions.groupBy("pid").agg(F.first("pred").alias("pred"))
-    blocks = catalogue_blocks(items)
-    if blocks > 1:
-        w = Window.partitionBy("pid").orderBy("dist", "item")
-        return with_blocks(asked, items, blocks).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("pid", "item", "place")
-
-    def work(ids: np.ndarray, dist: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-        most = min(k, len(ids))
-        order = np.argsort(dist, axis=1, kind="stable")[:, :most]
-        pids = np.repeat(batch.column("pid").to_numpy(), most)
-        places = np.tile(np.arange(1, most + 1, dtype=np.int32), batch.num_rows)
-        return pa.RecordBatch.from_arrays([pa.array(pids), pa.array(ids[order].ravel()), pa.array(places)], names=["pid", "item", "place"])
+
+    def work(ids: np.ndarray, known: np.ndarray, asked: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, item, _ = closest(asked, ids, known, k)
+        first = np.searchsorted(row, row)
+        columns = [batch.column("pid").take(pa.array(row)), pa.array(item), pa.array((np.arange(len(row)) - first + 1).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["pid", "item", "place"])
 
     return _by_batches(asked, items, work, "pid long, item long, place int")
 

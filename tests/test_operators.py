@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalars, vectors
-from chronofold.operators import distributed, graph, ranking, running, stages, temporal, traces, trials
+from chronofold.operators import catalogue, distributed, graph, history, ranking, running, stages, temporal, traces, trials
 from chronofold.sources import interactions, logs
 
 TINY = ["0,0,1.0,0,0.1,0.2,0.3", "1,1,2.0,0,0.0,0.5,0.1", "0,1,3.0,0,0.2,0.1,0.0", "1,0,4.0,0,0.4,0.2,0.2", "2,1,5.0,0,0.3,0.3,0.3", "2,0,6.0,0,0.1,0.4,0.2"]
@@ -142,8 +142,8 @@ def test_pairing_keeps_repeats_apart(spark):
 def test_rank_and_recall(spark, monkeypatch, most):
     """Against a broadcast catalogue, and in blocks."""
     monkeypatch.setattr(ranking, "MAX_CATALOGUE_BYTES", most)
+    monkeypatch.setattr(catalogue, "BLOCK_ITEMS", 2)
     items = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [1.0]), (3, [5.0])], "item long, vector array<double>")
-    assert ranking.catalogue_blocks(items) == (1 if most > 100 else 2)
     preds = spark.createDataFrame([(0, [1.0], 2), (0, [1.0], 1), (1, [4.9], 3), (2, [9.0], 0), (2, [9.0], 0), (3, [1.0], 9)], "pid long, pred array<double>, true_item long")
     ranks = ranking.true_ranks(preds, items)
     assert {(r["pid"], r["true_item"]): r["rank"] for r in ranks.collect()} == {(0, 2): 2, (0, 1): 1, (1, 3): 1, (2, 0): 4}
@@ -154,6 +154,81 @@ def test_rank_and_recall(spark, monkeypatch, most):
     assert ranking.true_ranks(preds.limit(0), items).count() == 0 and ranking.nearest(preds, items.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("pivots, block, asked", [(5, 20, 10), (1, 1000, 1000), (40, 3, 7)])
+def test_blocks_find_what_all_pairs_find(spark, monkeypatch, pivots, block, asked):
+    """Clusters, a third of all items on one point, equal distances, vectors far from the origin, fewer items than k."""
+    monkeypatch.setattr(ranking, "MAX_CATALOGUE_BYTES", 0)
+    for name, value in (("PIVOTS", pivots), ("BLOCK_ITEMS", block), ("ASKED_AT_ONCE", asked)):
+        monkeypatch.setattr(catalogue, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 4)) * 50 + 1e4
+    points = np.concatenate((centres[rng.integers(0, 6, 120)] + rng.integers(-2, 3, (120, 4)), np.tile(centres[0], (60, 1))))
+    items = spark.createDataFrame([(int(i) * 7 % 1000, [float(x) for x in p]) for i, p in enumerate(points)], "item long, vector array<double>").repartition(3)
+    ids = np.array([i * 7 % 1000 for i in range(len(points))])
+    asked_at = np.concatenate((points[::9], centres + 0.5))
+    wanted = rng.choice(ids, len(asked_at))
+    preds = spark.createDataFrame([(n, [float(x) for x in q], int(w)) for n, (q, w) in enumerate(zip(asked_at, wanted))] * 2, "pid long, pred array<double>, true_item long")
+    far = np.sqrt(((asked_at[:, None] - points[None]) ** 2).sum(2))
+    order = [ids[np.lexsort((ids, d))].tolist() for d in far]
+    assert {(r["pid"], r["true_item"]): r["rank"] for r in ranking.true_ranks(preds, items).collect()} == {(n, int(w)): order[n].index(w) + 1 for n, w in enumerate(wanted)}
+    for k in (1, 10, 500):
+        assert {(r["pid"], r["place"]): r["item"] for r in ranking.nearest(preds, items, k).collect()} == {(n, p + 1): i for n, o in enumerate(order) for p, i in enumerate(o[:k])}
+
+
+def test_blocks_that_cannot_matter_are_not_asked(spark, monkeypatch):
+    """Far clusters are ruled out by their bounds, and candidates are at most k a block."""
+    monkeypatch.setattr(catalogue, "BLOCK_ITEMS", 50)
+    monkeypatch.setattr(catalogue, "PIVOTS", 64)
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(100, 3)) + 1000 * c for c in range(10)])
+    items = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "item long, vector array<double>")
+    blocks = catalogue.Blocks.of(items)
+    sizes = [r["count"] for r in blocks.items.groupBy("block").count().collect()]
+    assert sum(sizes) == 1000 and sum(blocks.bounds.count) == 1000 and max(sizes) <= 120
+    low, high = (x[0] for x in blocks.bounds.of(points[:1]))
+    assert (low > high.min()).mean() > 0.7  # the nearest item lies in a block nearer than these
+
+
+def history_rows(spark):
+    """Half of all events are of node 7; one pair has a quarter of them; times repeat."""
+    rnd = random.Random(9)
+    rows = [(7 if i % 2 else rnd.randrange(20), 5 if i % 4 == 1 else rnd.randrange(3), float(i // 3), i) for i in range(1500)]
+    return spark.createDataFrame(rows, "src long, dst long, ts double, event_seq long").repartition(3)
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("size", [100, 7, 1 << 16])
+def test_histories_in_slices(spark, size):
+    """The windows by node and by pair give what plain windows give, however a busy node is cut."""
+    e = history_rows(spark)
+    node, pair = Window.partitionBy("src").orderBy("event_seq"), Window.partitionBy("src", "dst").orderBy("event_seq")
+    for k in (1, 10):
+        plain = e.withColumn("x", F.collect_list("dst").over(node.rowsBetween(-k, -1)))
+        assert rows_of(graph.recent_neighbours(e, k, size), "src", "event_seq", "neighbours") == rows_of(plain, "src", "event_seq", "x")
+        plain = e.withColumn("x", F.collect_list(F.struct("dst", "ts")).over(node.rowsBetween(-k, -1)))
+        assert rows_of(graph.recent_edges(e, k, size), "src", "event_seq", "recent") == rows_of(plain, "src", "event_seq", "x")
+    plain = e.withColumns({"l": F.lag("ts").over(pair), "w": F.row_number().over(pair)})
+    assert rows_of(graph.with_edge_history(e, size), "src", "event_seq", "last_time", "weight") == rows_of(plain, "src", "event_seq", "l", "w")
+    plain = e.withColumn("x", F.col("ts") - F.coalesce(F.lag("ts").over(node), F.lit(2.0)))
+    assert rows_of(graph.time_gap(e, "src", "gap", 2.0, size), "src", "event_seq", "gap") == rows_of(plain, "src", "event_seq", "x")
+    asks = spark.createDataFrame([(n, n % 21, float(n)) for n in range(0, 520, 3)], "query_id long, src long, at double")
+    want = asks.join(e, (asks["src"] == e["src"]) & (F.col("ts") <= F.col("at")), "left").groupBy("query_id").agg((F.first("at") - F.coalesce(F.max("ts"), F.lit(0.0))).alias("gap"))
+    assert rows_of(graph.query_gap(e, asks, "src", "at", "gap", size, 2.0), "query_id", "gap") == rows_of(want, "query_id", "gap")
+    assert graph.recent_neighbours(e.limit(0), 3, size).count() == 0
+
+
+def test_a_busy_node_is_many_tasks(spark):
+    """Slices of a node with half of all events are near the size asked for; quiet nodes stay whole."""
+    sliced = history.in_slices(history_rows(spark), ["src"], F.floor(F.col("event_seq") / 50), 50)
+    sizes = {(r["src"], r["_slice"]): r["count"] for r in sliced.groupBy("src", "_slice").count().collect()}
+    busy = sorted(n for (src, _), n in sizes.items() if src == 7)
+    assert sum(sizes.values()) == 1500 and len(busy) >= 10 and busy[-1] <= 2 * busy[len(busy) // 2] and busy[-1] < 100
+    assert all(part == 0 for (src, part), n in sizes.items() if src != 7 and n <= 50)
+
+
 def test_numbering_goes_on_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(temporal, "BUCKETS_TOGETHER", 3)
     rows = [(float(t), i) for i, t in enumerate([5, 1, 1, 900, 61, 3000, 61, 0, 700, 700, 120])]
