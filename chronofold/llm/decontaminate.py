@@ -1,10 +1,10 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND by every passage.
 
 Items are indexed whole, whatever their length; items of a like length (up to 64 words, 256, 1,024 and
-so on) share an index.
-Documents are cut into overlapping passages of three times the longest item of an index, at a stride of one. So any
-2 x longest + 1 words lie whole in one of them: every item with at least as many further words, before or between its
-question and answer or inside them, as the longest item has. A passage is a query: items whose BM25 score reaches their
+so on) share indexes. Documents are cut into passages for each of these lengths, three times as long at a stride of one
+length. So any 2 x length + 1 words lie whole in one of them: every item with at least 65, 257, 1,025, ... further words,
+before or between its question and answer or inside them. Passages depend on the length of an item alone, and so what
+is found does not depend on which other items there are. A passage is a query: items whose BM25 score reaches their
 threshold are retrieved, and then the shingles of the item's question and of its answer are looked for in the passage.
 A document leaks an item if at least ``OVERLAP`` of the shingles of both parts are in one passage.
 
@@ -20,7 +20,7 @@ their measured size is at most ``INDEX_BYTES``, and further ones take further pa
 larger than that by itself has an index of its own, as large as the item.
 
 Edge cases: null or empty texts match nothing; items without words are ignored; items that share an id are searched
-apart and reported once a pass; items with a null id are searched like others, reported once a pass with a null item_id,
+apart and reported once for a document; items with a null id are searched like others, reported once with a null item_id,
 and their documents dropped; a part with fewer words than a shingle is one shingle; repeated documents give a row each;
 empty tables give an empty result; other columns are ignored, whatever their names.
 """
@@ -76,6 +76,11 @@ def distinct_shingles(part: np.ndarray) -> int:
     return len(shingles(part.tolist()))
 
 
+def length_of(words: int) -> int:
+    """The length up to which an item counts: 64 words, 256, 1,024 and so on. Items of one length share indexes."""
+    return 64 << 2 * (max(0, (words - 1).bit_length() - 5) // 2)
+
+
 def shingles(ids: list[int], width: int = SHINGLE) -> set[tuple[int, ...]]:
     if not ids:
         return set()
@@ -112,8 +117,8 @@ class ItemIndex:
         self.terms: dict[str, int] = {}
         coded = [tuple(np.array([self.terms.setdefault(w, len(self.terms)) for w in part], np.int32) for part in (x.question, x.answer)) for x in items]
         self.parts, self.known = coded, {}
-        self.longest = max((len(q) + len(a) for q, a in coded), default=1)
-        self.width, self.step = 3 * self.longest, self.longest
+        self.step = length_of(max((len(q) + len(a) for q, a in coded), default=1))
+        self.width = 3 * self.step
         words = list(self.terms)
         of_term, of_item, impacts = [], [], []
         for i, (x, (q, a)) in enumerate(zip(items, coded, strict=True)):
@@ -144,41 +149,45 @@ class ItemIndex:
         arrays = (self.item, self.impact, self.first, self.block, self.block_most, self.block_first, self.most, *chain.from_iterable(self.parts))
         return sum(x.nbytes for x in arrays) + sum(len(w) + 150 for w in self.terms) + 250 * len(self.items)
 
-    def passages(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Term ids of each passage in rows, the text each is of, and the term ids of each text."""
+    def passages(self, ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Term ids of each passage in rows, the text each is of and its place in it. ids: the term ids of each text. Texts
+        shorter than a passage are one, among others of like length, so that little is filled up."""
         v = len(self.terms)
-        ids, rows, of = [], [], []
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            found = np.fromiter(map(self.terms.get, words, repeat(v)), np.int32, len(words))
-            ids.append(found)
-            n = max(1, -(-(len(found) - self.width + self.step) // self.step))
-            padded = np.full((n - 1) * self.step + self.width, v, np.int32)
-            padded[: len(found)] = found
-            rows.append(np.lib.stride_tricks.sliding_window_view(padded, self.width)[:: self.step])
-            of.append(np.full(len(rows[-1]), i))
-        return np.concatenate(rows), np.concatenate(of), ids
+        groups: dict[int, list[int]] = {}
+        for i, found in enumerate(ids):
+            groups.setdefault(min(self.width, 1 << max(6, (len(found) - 1).bit_length())), []).append(i)
+        for width, some in groups.items():
+            rows, of, nth = [], [], []
+            for i in some:
+                n = max(1, -(-(len(ids[i]) - width + self.step) // self.step))
+                padded = np.full((n - 1) * self.step + width, v, np.int32)
+                padded[: len(ids[i])] = ids[i]
+                rows.append(np.lib.stride_tricks.sliding_window_view(padded, width)[:: self.step])
+                of.append(np.full(n, i))
+                nth.append(np.arange(n))
+            yield np.concatenate(rows), np.concatenate(of), np.concatenate(nth)
 
     def search(self, texts: list[str]) -> list[dict[int, tuple[float, float, float]]]:
         """Of each text, the items it leaks: score against the threshold, overlap of question and of answer."""
         found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
         if not self.items or not texts:
             return found
-        rows, of, ids = self.passages(texts)
-        rows = np.sort(rows, axis=1)
-        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = len(self.terms)
-        starts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1]
-        hopeful = np.flatnonzero(self.most[rows].sum(1) >= 1)
-        step = max(1, BOUNDS_AT_ONCE // (self.width * self.blocks))
-        for a in range(0, len(hopeful), step):
-            some = hopeful[a : a + step]
-            for p, blocks in self._reached(rows[some]):
-                p = int(some[p])
-                terms = rows[p][rows[p] < len(self.terms)].tolist()
-                text, nth = int(of[p]), p - int(starts[of[p]])
-                passage = ids[text][nth * self.step : nth * self.step + self.width]
-                for i, score in self.wand(terms, blocks):
-                    self._verify(i, score, passage, found[text])
+        words = map(words_of, texts)
+        ids = [np.fromiter(map(self.terms.get, w, repeat(len(self.terms))), np.int32, len(w)) for w in words]
+        for rows, of, nth in self.passages(ids):
+            rows = np.sort(rows, axis=1)
+            rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = len(self.terms)
+            hopeful = np.flatnonzero(self.most[rows].sum(1) >= 1)
+            step = max(1, BOUNDS_AT_ONCE // (rows.shape[1] * self.blocks))
+            for a in range(0, len(hopeful), step):
+                some = hopeful[a : a + step]
+                for p, blocks in self._reached(rows[some]):
+                    p = int(some[p])
+                    terms = rows[p][rows[p] < len(self.terms)].tolist()
+                    text, start = int(of[p]), int(nth[p]) * self.step
+                    passage = ids[text][start : start + self.width]
+                    for i, score in self.wand(terms, blocks):
+                        self._verify(i, score, passage, found[text])
         return found
 
     def _reached(self, rows: np.ndarray) -> Iterator[tuple[int, list[int]]]:
@@ -273,22 +282,17 @@ def prepared(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFr
     return stored(counted.select("words", "nth", "item", "question", "answer", "counts"), "counted-items"), n, mean
 
 
-def _class(words: int) -> int:
-    """Items of one class of length share an index, and so the length of its passages: up to 64 words, 256, 1024 and so on."""
-    return max(0, (words - 1).bit_length() - 5) // 2
-
-
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[ItemIndex]:
     counted, n, mean = prepared(benchmark, item_col, text_col)
     some: list[Item] = []
     words, of = 0, None
     for r in counted.orderBy("words", "nth").toLocalIterator():
-        if some and (_class(r["words"]) != of or len(some) == ITEMS_AT_ONCE or words + r["words"] > WORDS_AT_ONCE):
+        if some and (length_of(r["words"]) != of or len(some) == ITEMS_AT_ONCE or words + r["words"] > WORDS_AT_ONCE):
             yield ItemIndex(some, n, mean)
             some, words = [], 0
         distinct = dict.fromkeys([*r["question"], *r["answer"]])
         some.append(Item(r["item"], r["question"], r["answer"], dict(zip(distinct, r["counts"], strict=True))))
-        words, of = words + r["words"], _class(r["words"])
+        words, of = words + r["words"], length_of(r["words"])
     if some:
         yield ItemIndex(some, n, mean)
 
@@ -328,24 +332,30 @@ def _found(indexes: list[ItemIndex], texts: list[str]) -> list[dict[int, tuple[f
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item it leaks: doc_id, item_id, score, question_overlap, answer_overlap."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for indexes in _passes(benchmark, item_col, item_text):
-        held = spark.sparkContext.broadcast(indexes)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    names = ["item_id", "score", "question_overlap", "answer_overlap"]
+    hit = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+    found = "found array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("found", F.lit(None).cast(found[6:]))
+    passes = _passes(benchmark, item_col, item_text)
+    indexes = next(passes, [])
+    while indexes:
+        held, indexes = docs.sparkSession.sparkContext.broadcast(indexes), next(passes, [])
+
+        # what a document leaks goes with it from pass to pass, its text up to the last
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=not indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = _found(held.value, [t or "" for t in batch.column("text").to_pylist()])
-                rows = [(d, i, *v) for d, h in zip(batch.column("doc_id").to_pylist(), hits, strict=True) for i, v in h.items()]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-        out = out.unionByName(slim.mapInArrow(run, schema))
-    return out
+                every = _found(held.value, [t or "" for t in batch.column("text").to_pylist()])
+                for hits, before in zip(every, batch.column("found").to_pylist(), strict=True):
+                    for x in before or ():
+                        i, *v = (x[name] for name in names)
+                        hits[i] = max(hits.get(i, tuple(v)), tuple(v))
+                out = pa.array([[dict(zip(names, (i, *v), strict=True)) for i, v in hits.items()] for hits in every], hit)
+                columns = [batch.column("doc_id"), out] if last else [batch.column("doc_id"), batch.column("text"), out]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "found"] if last else ["doc_id", "text", "found"])
+
+        rows = rows.mapInArrow(run, f"doc_id long, {'' if not indexes else 'text string, '}{found}")
+    return rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

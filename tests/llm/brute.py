@@ -113,8 +113,7 @@ def leaks(rows, items):
         classes[k].append(p)
     grams = lambda ws, n: {" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)}
     found = set()
-    for group in classes.values():
-        longest = max(len(q) + len(a) for _, q, a in group)
+    for longest, group in classes.items():
         for doc, text in rows:
             words = lower(text)
             for start in range(0, max(1, len(words)), longest):

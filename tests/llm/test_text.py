@@ -255,6 +255,34 @@ def test_longest_item_with_words_between(further):
     assert [set(hits) for hits in index.search(texts)] == [{1}] * len(texts)
 
 
+@pytest.mark.parametrize("at_once", [3, 2048])
+def test_leaks_do_not_depend_on_other_items(spark, monkeypatch, at_once):
+    """An item of 20 words whose question and answer stand 60 words apart, alone, beside a longer one, and among 2,101 others."""
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+    few = 40 if at_once == 3 else 2100  # more than an index takes
+    item = (1, " ".join(f"q{i}" for i in range(12)) + "? " + " ".join(f"a{i}" for i in range(8)) + ".")
+    longer = (2, " ".join(f"l{i}" for i in range(59)) + "? yes.")
+    others = [(10 + n, " ".join(f"o{n}x{i}" for i in range(12)) + "? " + " ".join(f"p{n}x{i}" for i in range(8)) + ".") for n in range(few)]
+    parts = [x.strip("?.") for x in item[1].split("? ")]
+    rows = [(n, " ".join(["w"] * n + [parts[0]] + ["between"] * 60 + [parts[1]] + ["w"] * 70)) for n in range(0, 200, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for items in ([item], [item, longer], [item, longer, *others]):
+        got = decontaminate.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(n, 1) for n, _ in rows]
+        assert all(r["question_overlap"] == r["answer_overlap"] == 1 for r in got)
+
+
+def test_an_id_is_reported_once(spark, monkeypatch):
+    """Items of one id, and of none, in passes of their own; ties between items; repeated documents give a row each."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1)
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 1)
+    bench = spark.createDataFrame([(1, ITEMS[0][1]), (1, ITEMS[1][1]), (None, ITEMS[2][1]), (None, ITEMS[0][1]), (4, ITEMS[0][1])], "item_id long, text string")
+    every = " and ".join(t for _, t in ITEMS[:3])
+    d = spark.createDataFrame([(1, every), (1, every), (2, ITEMS[2][1]), (3, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, None), (1, 4)] * 2 + [(2, None)], key=str)
+
+
 def leak_cases(spark, sf_dir):
     """Real items and documents, items with changed words, and items of 480 to 3000 words, whole and in part."""
     rnd = random.Random(2)
