@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..operators.shared import new_path as shared_path
 from ..sources import logs, sinks
 from ..streaming import tail
 from . import base
 from .base import query
-from .streams import shared_path
 
 
 @query("""

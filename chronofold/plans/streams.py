@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import checkpoint_dir
+from ..operators.shared import new_path as shared_path
 from ..streaming import entities
 from .base import query
 
@@ -16,11 +14,6 @@ from .base import query
 EVENTS = "event[s].parquet"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in local mode a temporary one."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, round(epoch_us(ts) / 1e6 - coalesce(lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 3) AS gap FROM events")
 def stream_user_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of users, event by event, from a stream with state."""
