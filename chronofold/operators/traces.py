@@ -120,25 +120,25 @@ def recommendations(measures: DataFrame) -> DataFrame:
     return measures.withColumn("advice", F.array_compact(F.array(*messages)))
 
 
-def monitor_bundle(tasks: DataFrame, devices: int, step: float = 0.5) -> DataFrame:
-    """One row with all measures of a trace: those of the functions above, of one reading of the tasks but for the samples."""
-    tasks = checkpointed(tasks)
-    sampled = sampled_concurrency(tasks, step).agg(F.avg("running").alias("avg_concurrent"), F.max("running").alias("max_concurrent"))
+def stage_sums(tasks: DataFrame) -> DataFrame:
+    """A row for each stage: what all measures but the samples need of its tasks."""
     took = F.col("end") - F.col("start")
-    whole = (F.grouping("stage") == 1).alias("whole")
-    sums = tasks.groupingSets([["stage"], []], "stage").agg(
-        whole, F.count("*").alias("n"), F.sum(took).alias("busy"), F.avg(took).alias("mean"), (F.max("end") - F.min("start")).alias("wall"), (F.max("end") - F.min("end")).alias("ends"),
-        F.sum(F.when(F.col("trial") == 0, took)).alias("base"), F.countDistinct("trial").alias("trials"),
+    return tasks.groupBy("stage").agg(
+        F.count("*").alias("n"), F.sum(took).alias("busy"), F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.min("end").alias("first_end"),
+        F.sum(F.when(F.col("trial") == 0, took)).alias("base"),
     )
-    of_all, of_stage = (lambda c: F.max(F.when(F.col("whole"), F.col(c)))), (lambda c: F.when(~F.col("whole"), c))
-    used = of_stage(F.col("busy") / F.nullif(F.col("wall"), F.lit(0.0)))
-    last = F.max_by(F.struct("n", "ends"), of_stage(F.col("stage")))
-    means = of_stage(F.col("mean"))
+
+
+def bundle_of(sampled: DataFrame, sums: DataFrame, trials: DataFrame, devices: int) -> DataFrame:
+    """One row with all measures. sampled: avg_concurrent, max_concurrent; sums: those of stages; trials: how many."""
+    used = F.col("busy") / F.nullif(F.col("last_end") - F.col("first_start"), F.lit(0.0))
+    means = F.col("busy") / F.col("n")
     row = sums.agg(
-        of_all("busy").alias("busy_s"), of_all("wall").alias("wall_s"), F.avg(used).alias("avg_stage_util"), F.max(used).alias("max_stage_util"), F.min(used).alias("min_stage_utilisation"),
-        last.alias("_last"), of_all("trials").alias("trials"), of_all("base").alias("baseline_s"),
-        F.max_by("stage", of_stage(F.struct(F.col("mean"), -F.col("stage")))).alias("bottleneck_stage"), F.max(means).alias("mean_s"), (F.max(means) / F.greatest(F.min(means), F.lit(0.001))).alias("imbalance"),
+        F.sum("busy").alias("busy_s"), (F.max("last_end") - F.min("first_start")).alias("wall_s"), F.avg(used).alias("avg_stage_util"), F.max(used).alias("max_stage_util"), F.min(used).alias("min_stage_utilisation"),
+        F.max_by(F.struct("n", (F.col("last_end") - F.col("first_end")).alias("ends")), "stage").alias("_last"), F.sum("base").alias("baseline_s"),
+        F.max_by("stage", F.struct(means, -F.col("stage"))).alias("bottleneck_stage"), F.max(means).alias("mean_s"), (F.max(means) / F.greatest(F.min(means), F.lit(0.001))).alias("imbalance"),
     )
+    row = row.join(F.broadcast(trials), F.lit(True))  # one row each
     n, ends, wall = F.col("_last.n"), F.col("_last.ends"), F.nullif(F.col("wall_s"), F.lit(0.0))
     row = row.withColumns({
         "efficiency": F.col("busy_s") / (wall * devices), "completed": F.coalesce(n, F.lit(0)), "throughput": F.when((F.coalesce(n, F.lit(0)) < 2) | (ends <= 0), 0.0).otherwise(n / ends),
@@ -147,6 +147,13 @@ def monitor_bundle(tasks: DataFrame, devices: int, step: float = 0.5) -> DataFra
     return sampled.join(F.broadcast(row), F.lit(True)).withColumn("utilisation", F.col("avg_concurrent") / devices)  # one row each
 
 
+def monitor_bundle(tasks: DataFrame, devices: int, step: float = 0.5) -> DataFrame:
+    """One row with all measures of a trace: those of the functions above, of one reading of the tasks but for the samples."""
+    tasks = checkpointed(tasks)
+    sampled = sampled_concurrency(tasks, step).agg(F.avg("running").alias("avg_concurrent"), F.max("running").alias("max_concurrent"))
+    return bundle_of(sampled, stage_sums(tasks), tasks.agg(F.countDistinct("trial").alias("trials")), devices)
+
+
 def summary(samples: DataFrame, columns: list[str]) -> DataFrame:
     """(metric, min, max, mean) of some columns."""
     pairs = ", ".join(f"'{c}', {c}" for c in columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,36 @@ def tailed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event", "trial").agg(F.count("*").alias("n"), F.max("elapsed").alias("last"))
 
 
+def _grow(lines: DataFrame, folder: str, share: float) -> None:
+    """Writes a file for each part of lines (part, nth, value), as it is when a share of its bytes has been written. A task
+    writes its files whole, so one that is repeated leaves the same."""
+
+    def write(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nth")
+        data = "".join(f"{v}\n" for v in rows.column("value").to_pylist()).encode()
+        system, root = FileSystem.from_uri(folder)
+        system.create_dir(root)
+        with system.open_output_stream(f"{root}/{rows.column('part')[0].as_py()}.log") as f:
+            f.write(data[: int(len(data) * share)])
+        return pa.table({"n": pa.array([len(data)], pa.int64())})
+
+    lines.groupBy("part").applyInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
+@query(f"WITH l AS ({_LINES}) SELECT o_orderkey::DOUBLE AS elapsed, event, CAST(trial AS INTEGER) AS trial, 1 AS seen FROM l")
+def growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that are read three times while they grow, cut in the middle of lines: each line once, and none before its end."""
+    path = shared_path(spark, "growing")
+    o = base.table(spark, sf_dir, "orders")
+    event = F.when(F.col("o_orderkey") % 3 == 0, "interaction_progress").when(F.col("o_orderkey") % 3 == 1, "dispatch").otherwise("partition_done")
+    line = F.format_string("elapsed=%d.0s phase=train event=%s trial=%d stage=1/3", "o_orderkey", event, F.col("o_orderkey") % 7)
+    lines = o.select(F.floor(F.col("o_orderkey") / 20000).alias("part"), F.col("o_orderkey").alias("nth"), line.alias("value"))
+    for share in (0.3337, 0.71, 1.0):
+        _grow(lines, f"{path}/log", share)
+        tail.tail_trace(spark, f"{path}/log", f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/table").groupBy("elapsed", "event", "trial").agg(F.count("*").cast("int").alias("seen"))
+
+
 @query(f"WITH l AS ({_LINES}) SELECT count(*) AS lines FROM l WHERE event <> 'dispatch'")
 def tailed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = base.table(spark, sf_dir, "orders")

@@ -1,7 +1,8 @@
 """Run logs as they grow: a tail of trace files, a progress count and the monitor's samples.
 
-A log is a folder to which files are added; offsets are kept by the query's checkpoint. A batch is written to a folder
-of its own number, which a repeated batch overwrites, so nothing is lost or written twice if a run breaks off.
+A log is a folder of files that grow; the query's checkpoint keeps the byte of each file up to which it has been read
+(``growing``). A batch is written to a folder of its own number, which a repeated batch overwrites, so nothing is lost or
+written twice if a run breaks off.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import traces
 from ..sources.logs import EFFICIENCY, parse_trace
+from .growing import growing_lines
+from .monitor import MonitorState
 
 #: Rows of a batch have numbers from its own range of this size.
 BATCH_ROWS = 1 << 48
@@ -23,21 +25,21 @@ def _started(lines: DataFrame, each, checkpoint: str, seconds: float | None) ->
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def trace_lines(spark: SparkSession, logs: str, files_at_once: int = 64) -> DataFrame:
-    return spark.readStream.option("maxFilesPerTrigger", files_at_once).text(logs)
+def _numbered(batch: DataFrame, number: int) -> DataFrame:
+    """(seq, value) in the order of batches, files and bytes."""
+    return batch.select((F.lit(number * BATCH_ROWS) + F.monotonically_increasing_id()).alias("seq"), "value")
 
 
 def tail_trace(spark: SparkSession, logs: str, out: str, checkpoint: str, seconds: float | None = None) -> StreamingQuery:
-    """Appends the typed rows of new trace files to the table out, partitioned by batch.
+    """Appends the typed rows of new trace lines to the table out, partitioned by batch.
 
     Numbers grow from batch to batch; within a batch they follow the order of files and lines.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = parse_trace(batch.select((F.lit(number * BATCH_ROWS) + F.monotonically_increasing_id()).alias("seq"), "value"))
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        parse_trace(_numbered(batch, number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _started(trace_lines(spark, logs), each, checkpoint, seconds)
+    return _started(growing_lines(spark, logs), each, checkpoint, seconds)
 
 
 def progress(trace: DataFrame) -> DataFrame:
@@ -47,23 +49,22 @@ def progress(trace: DataFrame) -> DataFrame:
 
 
 def monitor(spark: SparkSession, logs: str, table: str, samples: str, checkpoint: str, devices: int, seconds: float | None = None) -> StreamingQuery:
-    """Tails a trace and writes one sample of all measures after each batch with a completed task."""
+    """Tails a trace and writes one sample of all measures after each batch that completes a task. A batch reads its own rows
+    and the state of the batch before (``monitor.MonitorState``), which stands beside the checkpoint."""
+    state = MonitorState(spark, f"{checkpoint}-state")
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = parse_trace(batch.select((F.lit(number * BATCH_ROWS) + F.monotonically_increasing_id()).alias("seq"), "value"))
+        rows = parse_trace(_numbered(batch, number))
         rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        known = spark.read.schema(rows.schema).parquet(f"{table}/batch=*")
-        tasks = traces.pair_sequence(known)
-        if not tasks.isEmpty():
-            sample(traces.monitor_bundle(tasks, devices), tasks).write.mode("overwrite").option("header", True).csv(f"{samples}/batch={number}")
+        if state.advance(number, spark.read.schema(rows.schema).parquet(f"{table}/batch={number}")):
+            sample(state.measures(number, devices)).write.mode("overwrite").option("header", True).csv(f"{samples}/batch={number}")
 
-    return _started(trace_lines(spark, logs), each, checkpoint, seconds)
+    return _started(growing_lines(spark, logs), each, checkpoint, seconds)
 
 
-def sample(bundle: DataFrame, tasks: DataFrame) -> DataFrame:
+def sample(measures: DataFrame) -> DataFrame:
     """The monitor's row, in the columns of the efficiency file."""
-    last = tasks.agg(F.max("end").alias("elapsed_time_s"), F.count("*").cast("int").alias("num_completed_tasks"))
-    row = bundle.join(F.broadcast(last), F.lit(True)).withColumns({  # one row each
+    row = measures.withColumns({
         "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), "wall_time": F.col("wall_s"), "avg_concurrent_gpus": F.col("avg_concurrent"),
         "gpu_util_ratio": F.col("utilisation"), "gpu_efficiency": F.col("efficiency"), "trial_throughput": F.col("throughput"), "pipeline_speedup": F.col("speedup"),
     })
