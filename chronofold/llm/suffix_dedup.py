@@ -34,8 +34,8 @@ from .repeats import Windows, anchor_bits, cut_out, dealt, distinct_contexts, go
 from .windows import grams
 
 GRAM = 64
-#: Bytes of contexts that get a suffix array of their own before it is merged.
-BATCH_BYTES = 1 << 18
+#: Batches that the contexts of a shard make, so that its levels are merged however large it is, and the least bytes of one.
+BATCHES, LEAST_BATCH_BYTES = 16, 1 << 12
 MARKS = "context binary, cuts array<struct<a:bigint,b:bigint>>"
 MARKS_ARROW = pa.schema([("context", pa.binary()), ("cuts", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 
@@ -98,6 +98,7 @@ class SuffixFamily:
         self.words = words_at(self.data, self.size)
         self.found = np.zeros(len(self.data), bool)
         self.levels: list[np.ndarray | None] = []
+        self.merges = 0
 
     def add(self, first: int, last: int) -> None:
         """Contexts first to last - 1: their own suffix array, merged with every level that is full."""
@@ -131,6 +132,7 @@ class SuffixFamily:
 
     def _merged(self, held: np.ndarray, batch: np.ndarray) -> np.ndarray:
         """Both arrays as one, in order. A string of both is marked in both; it stays once."""
+        self.merges += 1
         at, low_end = (np.searchsorted(self._first(held), self._first(batch), side) for side in ("left", "right"))
         open_ = np.flatnonzero(at < low_end)  # strings whose first word is in held: their place is searched for
         low, high = at[open_], low_end[open_]
@@ -170,16 +172,23 @@ class SuffixFamily:
         return out
 
 
-def repeated_ranges(contexts: list[bytes], counts: list[int], width: int) -> list[list[tuple[int, int]]]:
-    """Of each distinct context, the ranges of bytes that lie in repeated strings."""
+def family_of(contexts: list[bytes], width: int) -> SuffixFamily:
+    """The family of a shard's contexts, added batch by batch and merged."""
     family = SuffixFamily(contexts, width)
+    wanted = max(LEAST_BATCH_BYTES, len(family.data) // BATCHES)
     first, size = 0, 0
     for i, c in enumerate(contexts):
         size += len(c)
-        if size >= BATCH_BYTES or i == len(contexts) - 1:
+        if size >= wanted or i == len(contexts) - 1:
             family.add(first, i + 1)
             first, size = i + 1, 0
     family.finish()
+    return family
+
+
+def repeated_ranges(contexts: list[bytes], counts: list[int], width: int) -> list[list[tuple[int, int]]]:
+    """Of each distinct context, the ranges of bytes that lie in repeated strings."""
+    family = family_of(contexts, width)
     out = []
     for i, n in enumerate(counts):
         a, b = family.edges[i : i + 2].tolist()

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.llm import common, exact_dedup, repeats, simhash_dedup, suffix_dedup
 from chronofold.llm import phrase_dedup as phrase_dedup_module
@@ -203,12 +204,28 @@ def test_phrases(spark, sf_dir, monkeypatch, hot, places):
 @pytest.mark.parametrize("hot", [1, 1500])
 def test_strings(spark, sf_dir, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
-    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
     for d, rows in ((docs(spark, more_rows()), more_rows()), texts(spark, sf_dir)):
         brute.same(suffix_dedup.suffix_dedup(d), brute.strings(rows))
     assert suffix_dedup.suffix_dedup(docs(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_shards_of_a_run_merge_levels(spark, sf_dir):
+    """The contexts of the whole table, in the shards of the query: levels are merged many times in each large one."""
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    rows = repeats.keyed(spark.read.parquet(f"{larger}/documents.parquet"), "doc_id", "text")
+    spec = repeats.Windows("byte", 400, suffix_dedup.GRAM)
+    found = common.stored(repeats.distinct_contexts(rows, spec, repeats.anchor_bits(common.stored(repeats.repeated_anchors(rows, spec), "anchors"))), "contexts")
+    shards = repeats.shards_for(found)
+
+    def count(part: pa.Table) -> pa.Table:
+        contexts = part.column("context").to_pylist()
+        return pa.table({"bytes": [sum(map(len, contexts))], "merges": [suffix_dedup.family_of(contexts, 400).merges]})
+
+    merged = found.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(count, "bytes long, merges long").collect()
+    large = [r["merges"] for r in merged if r["bytes"] >= 16 * suffix_dedup.LEAST_BATCH_BYTES]
+    assert large and min(large) >= 10 and sum(r["merges"] for r in merged) >= 40
+
+
 def test_suffix_array_is_sorted():
     source = np.random.default_rng(1)
     data = source.integers(97, 99, 500).astype(np.uint8)
