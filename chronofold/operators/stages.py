@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import running_sum, sliced
@@ -107,6 +107,37 @@ def stage_summary(staged: DataFrame) -> DataFrame:
     )
 
 
+def grouped(costs: DataFrame, stages: int, strategy: str = "cost") -> DataFrame:
+    """Adds stage by a strategy: near-equal numbers of partitions (count), or balanced costs. costs: the partitions of one part."""
+    if strategy not in ("count", "cost"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return group_by_count(costs, stages) if strategy == "count" else group_by_cost(costs, stages)
+
+
+def with_workers(rows: DataFrame, gpus: Column, stages: Column) -> DataFrame:
+    """A row for each stage of each row, with its workers: what is left is shared by the stages that are left, at least one each."""
+    start = F.struct(gpus.cast("long").alias("left"), F.array().cast("array<long>").alias("out"))
+
+    def share(state: Column, stage: Column) -> Column:
+        n = F.greatest(F.floor(state["left"] / (stages - stage)), F.lit(1).cast("long"))
+        return F.struct((state["left"] - n).alias("left"), F.array_append(state["out"], n).alias("out"))
+
+    found = F.aggregate(F.sequence(F.lit(0), stages - 1), start, share, lambda state: state["out"])
+    return rows.select("*", F.posexplode(found).alias("stage", "workers"))
+
+
+def summary_hints(stages: DataFrame, devices: int) -> DataFrame:
+    """Of each part: its stages, events and workers, whether they fit the devices, and hints. stages: split, stage, n, workers."""
+    sums = stages.groupBy("split").agg(F.count("*").alias("stages"), F.sum("n").alias("events"), F.sum("workers").alias("workers"), F.max("workers").alias("most"))
+    unused = F.lit(devices) - F.col("workers")
+    hints = [
+        F.when((F.col("split") == "train") & (F.col("most") <= 1) & (F.col("stages") > 1), "one worker a stage: no parallelism within stages"),
+        F.when((F.lit(devices) > 0) & (unused > 0), F.concat(unused.cast("string"), F.lit(" devices unused"))),
+    ]
+    fit = F.when(F.lit(devices) > 0, F.when(unused >= 0, "fit").otherwise("oversubscribed"))
+    return sums.select("split", "stages", "events", "workers", fit.alias("fit"), F.array_compact(F.array(*hints)).alias("hints"))
+
+
 def worker_allocation(gpus: int, stages: int, per_worker: float) -> list[int]:
     """Workers of each stage: what is left is shared by the stages that are left, at least one each."""
     left, out = int(gpus / per_worker), []

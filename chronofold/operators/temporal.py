@@ -113,6 +113,17 @@ def partition_metadata(planned: DataFrame) -> DataFrame:
     return planned.groupBy("split", "partition_id").agg(F.count("*").alias("n"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
 
 
+# The settings that a run states about itself, and what they are if they are not given.
+RUN_SETTINGS = {"dataset": "synthetic", "max_events": 0, "feature_dim": 8, "lr": 1e-3, "train_ratio": 0.7, "val_ratio": 0.1, "k": 10, "selection_metric": "mrr", "seed": 42}
+
+
+def run_metadata(planned: DataFrame, settings: dict) -> DataFrame:
+    """One row: the settings of a run and the sizes of its parts."""
+    sizes = [F.sum((F.col("split") == s).cast("long")).alias(f"num_{s}_events") for s in SPLITS]
+    given = {k: type(v)(settings.get(k, v)) for k, v in RUN_SETTINGS.items()}
+    return planned.agg(*sizes).select(*[F.lit(v).alias(k) for k, v in given.items()], *[F.coalesce(f"num_{s}_events", F.lit(0)).alias(f"num_{s}_events") for s in SPLITS])
+
+
 def worker_chunks(planned: DataFrame, workers: int, seq: str = "event_seq") -> DataFrame:
     """Adds the worker that takes each event of a partition: near-equal runs of events. Partitions are whole, so the place of
     an event follows from its number, and only the first number and the size of each partition are looked up."""

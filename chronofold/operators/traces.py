@@ -161,6 +161,19 @@ def summary(samples: DataFrame, columns: list[str]) -> DataFrame:
     return flat.groupBy("metric").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
 
 
+def timeline(rows: DataFrame, order: str, columns: dict[str, float | None], width: int = 30) -> DataFrame:
+    """rows with a bar for each column: beside a whole, which fills the bar up, or (None) beside the column's largest value."""
+    free = [c for c, whole in columns.items() if whole is None]
+    if free:
+        most = rows.agg(*[F.max(c).alias(f"_most_{c}") for c in free])  # one row
+        rows = rows.join(F.broadcast(most), F.lit(True))
+    for c, whole in columns.items():
+        n = F.floor(F.col(c) / (F.lit(whole) if whole else F.col(f"_most_{c}")) * width).cast("int")
+        bar = F.repeat(F.lit("█"), n)
+        rows = rows.withColumn(f"{c}_bar", F.concat(bar, F.repeat(F.lit("░"), width - n)) if whole else bar)
+    return rows.drop(*[f"_most_{c}" for c in free])
+
+
 def progress_events(steps: DataFrame, every: int = 100) -> DataFrame:
     """The events a worker reports: the first, the last and every hundredth of its partition. steps: idx, total."""
     every = max(100, every)

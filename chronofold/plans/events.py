@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, vectors
 from ..operators import stages, temporal
 from ..operators.running import running_max, sliced
+from ..operators.shared import checkpointed
 from ..sources import interactions
 from . import base
 from .base import query
@@ -188,6 +189,27 @@ def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.stage_summary(stages.group_by_count(stages.partition_costs(base.planned(spark, sf_dir)), 3))
 
 
+@query(f"""WITH {base.S} SELECT 'events' AS dataset, 0 AS max_events, 8 AS feature_dim, 0.01::DOUBLE AS lr, 0.7::DOUBLE AS train_ratio, 0.1::DOUBLE AS val_ratio, 10 AS k, 'mrr' AS selection_metric, 42 AS seed,
+    count(*) FILTER (split = 'train') AS num_train_events, count(*) FILTER (split = 'val') AS num_val_events, count(*) FILTER (split = 'test') AS num_test_events FROM s""")
+def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run states about itself and its parts."""
+    return temporal.run_metadata(base.planned(spark, sf_dir), {"dataset": "events", "lr": "0.01"})
+
+
+@query(f"""WITH {base.COSTS},
+    g AS (SELECT *, CAST(ntile(3) OVER (PARTITION BY split ORDER BY start_ts, partition_id) - 1 AS INTEGER) AS stage FROM k WHERE split <> 'test'),
+    t AS (SELECT split, stage, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2), w AS (SELECT *, CASE split WHEN 'train' THEN 1 ELSE 2 END AS workers FROM t),
+    su AS (SELECT split, count(*) AS stages, CAST(sum(n) AS BIGINT) AS events, CAST(sum(workers) AS BIGINT) AS workers, max(workers) AS most FROM w GROUP BY 1)
+    SELECT split, stages, events, workers, CASE WHEN workers <= 5 THEN 'fit' ELSE 'oversubscribed' END AS fit,
+           array_to_string(list_filter([CASE WHEN split = 'train' AND most <= 1 AND stages > 1 THEN 'one worker a stage: no parallelism within stages' END, CASE WHEN workers < 5 THEN (5 - workers) || ' devices unused' END], lambda x: x IS NOT NULL), '; ') AS hints FROM su""")
+def stage_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of training and validation by number of partitions, and hints for five devices."""
+    costs = checkpointed(stages.partition_costs(base.planned(spark, sf_dir)))
+    parts = [stages.grouped(costs.filter(F.col("split") == s), 3, "count").withColumn("workers", F.lit(w)) for s, w in (("train", 1), ("val", 2))]
+    rows = parts[0].unionByName(parts[1]).groupBy("split", "stage").agg(F.sum("n").alias("n"), F.max("workers").alias("workers"))
+    return stages.summary_hints(rows, 5).withColumn("hints", F.array_join("hints", "; "))
+
+
 @query("SELECT DISTINCT user_id AS partition_id, CAST(42 + (user_id % 3) * 100000 + user_id AS BIGINT) AS seed FROM events")
 def epoch_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base.table(spark, sf_dir, "events").select("user_id").distinct()

@@ -53,8 +53,7 @@ def official_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, bal = F.col("s_suppkey") % 3, F.col("s_acctbal").cast("string")
     text = F.when(n == 0, F.lit('{"mrr": 0.25}')).when(n == 1, F.concat(F.lit('{"metrics": {"mrr": '), bal, F.lit(', "recall_at_10": 0.5}}'))).otherwise(F.lit("{}"))
     parsed = F.from_json(text, "mrr double, recall_at_10 double, metrics struct<mrr: double, recall_at_10: double>")
-    s = base.table(spark, sf_dir, "supplier").select("s_suppkey", parsed.alias("r")).select("s_suppkey", "r.*")
-    return s.select("s_suppkey", F.coalesce("mrr", "metrics.mrr").alias("mrr"), F.coalesce("recall_at_10", "metrics.recall_at_10").alias("recall_at_10"))
+    return logs.official_result(base.table(spark, sf_dir, "supplier").select("s_suppkey", parsed.alias("r")).select("s_suppkey", "r.*"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN s_suppkey % 4 = 1 THEN 1 ELSE CAST(s_suppkey % 4 AS INTEGER) END AS devices FROM supplier")
@@ -76,37 +75,50 @@ def choose_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "orders").select("o_orderkey", scalars.choose(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"], "5-LOW").alias("chosen"))
 
 
-@query("""
-    WITH m(message_mode) AS (VALUES ('agg'), ('peer')), g(event_agg) AS (VALUES ('mean'), ('sum'), ('attn'), ('none')), c(memory_cell) AS (VALUES ('rnn'), ('gru'), ('lstm'), ('add')), f(model) AS (VALUES ('recurrent'), ('graph'))
-    SELECT model, message_mode, event_agg, memory_cell FROM f, m, g, c""")
-def space_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space.enumerate_space(spark, space.MINI)
+_DRAWN = """
+    WITH c AS (SELECT o_orderkey, o_custkey, (['recurrent', 'graph'])[o_orderkey % 2 + 1] AS model, (['agg', 'peer'])[o_orderkey // 2 % 2 + 1] AS message_mode,
+          (['mean', 'sum', 'attn', 'none'])[o_orderkey // 4 % 4 + 1] AS event_agg, (['rnn', 'gru', 'lstm', 'add'])[o_orderkey // 16 % 4 + 1] AS memory_cell FROM orders),
+    s AS (SELECT o_orderkey, o_custkey, model, CASE WHEN model = 'recurrent' THEN 'peer' ELSE message_mode END AS message_mode,
+          CASE WHEN model = 'recurrent' OR message_mode = 'peer' THEN 'none' ELSE event_agg END AS event_agg, CASE WHEN model = 'recurrent' AND memory_cell = 'add' THEN 'gru' ELSE memory_cell END AS memory_cell FROM c)"""
 
 
-_SANE = """
-    WITH m(message_mode) AS (VALUES ('agg'), ('peer')), g(event_agg) AS (VALUES ('mean'), ('sum'), ('attn'), ('none')), c(memory_cell) AS (VALUES ('rnn'), ('gru'), ('lstm'), ('add')), f(model) AS (VALUES ('recurrent'), ('graph')),
-    s AS (SELECT model, CASE WHEN model = 'recurrent' THEN 'peer' ELSE message_mode END AS message_mode,
-          CASE WHEN model = 'recurrent' OR message_mode = 'peer' THEN 'none' ELSE event_agg END AS event_agg, CASE WHEN model = 'recurrent' AND memory_cell = 'add' THEN 'gru' ELSE memory_cell END AS memory_cell FROM f, m, g, c)"""
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, o_custkey, model, message_mode, event_agg, memory_cell): every order stands for the configuration of its number."""
+    o = base.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", "o_custkey", *space.decoded(F.col("o_orderkey"), space.MINI))
 
 
-@query(_SANE + " SELECT model, message_mode, event_agg, memory_cell, count(*) AS n FROM s GROUP BY ALL")
+@query(_DRAWN + " SELECT o_orderkey, model, message_mode, event_agg, memory_cell FROM c")
+def space_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawn(spark, sf_dir).drop("o_custkey")
+
+
+@query(_DRAWN + " SELECT model, message_mode, event_agg, memory_cell, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM s GROUP BY ALL")
 def sanitised_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = space.sanitised(space.enumerate_space(spark, space.MINI))
-    return found.groupBy("model", "message_mode", "event_agg", "memory_cell").agg(F.count("*").alias("n"))
+    """How often each canonical configuration is drawn, and by how many customers."""
+    found = space.sanitised(drawn(spark, sf_dir))
+    return found.groupBy("model", "message_mode", "event_agg", "memory_cell").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
-@query(_SANE + " SELECT count(DISTINCT (model, message_mode, event_agg, memory_cell)) AS architectures FROM s")
+@query(_DRAWN + " SELECT o_custkey, count(*) AS trials, count(DISTINCT (model, message_mode, event_agg, memory_cell)) AS architectures FROM s GROUP BY 1")
 def signature_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = space.with_signature(space.sanitised(space.enumerate_space(spark, space.MINI)))
-    return found.dropDuplicates(["signature"]).agg(F.count("*").alias("architectures"))
+    """The different architectures among the trials of each customer."""
+    d = drawn(spark, sf_dir)
+    signed = space.with_signature(space.sanitised(d.drop("o_orderkey")).withColumn("_of", F.col("o_custkey")).drop("o_custkey").withColumnRenamed("_of", "zz_of"))
+    return signed.groupBy(F.col("zz_of").alias("o_custkey")).agg(F.count("*").alias("trials"), F.countDistinct("signature").alias("architectures"))
 
 
 @query("""
-    WITH d(d) AS (VALUES (32), (64), (128)), s(s) AS (VALUES (0), (1)), g(cell, g) AS (VALUES ('rnn', 1), ('gru', 3), ('lstm', 4))
-    SELECT d, s, cell, CAST(2 * d + s * (1435 + 21) * d + 2 * g * d * ((2 * d + 2 * d * s + 4 + 2) + d + 2) + 2 * d + (d + s * d) * d + d + d * d + d AS BIGINT) AS params FROM d, s, g""")
+    WITH n AS (SELECT (SELECT count(*) FROM customer) AS u, (SELECT count(*) FROM part) AS i),
+    c AS (SELECT o_orderkey, ([32, 64, 128])[o_orderkey % 3 + 1] AS d, o_custkey % 2 AS s, ([1, 3, 4])[o_custkey % 3 + 1] AS g FROM orders)
+    SELECT o_orderkey, CAST(2 * d + s * (u + i) * d + 2 * g * d * ((2 * d + 2 * d * s + 4 + 2) + d + 2) + 2 * d + (d + s * d) * d + d + d * d + d AS BIGINT) AS params FROM c, n""")
 def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame([(d, s, c) for d in (32, 64, 128) for s in (0, 1) for c in ("rnn", "gru", "lstm")], "d int, s int, cell string")
-    return cells.withColumn("params", space.recurrent_params(F.col("d"), F.col("s"), F.col("cell"), 1435, 21, 4))
+    """The size of the recurrent model that each order stands for, over all customers and parts."""
+    users, items = (base.table(spark, sf_dir, t).count() for t in ("customer", "part"))
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    o = base.table(spark, sf_dir, "orders")
+    c = o.select("o_orderkey", pick((32, 64, 128), F.col("o_orderkey") % 3).alias("d"), (F.col("o_custkey") % 2).alias("s"), pick(("rnn", "gru", "lstm"), F.col("o_custkey") % 3).alias("cell"))
+    return c.select("o_orderkey", space.recurrent_params(F.col("d"), F.col("s"), F.col("cell"), users, items, 4).alias("params"))
 
 
 @query("""

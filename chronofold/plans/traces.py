@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import stages, traces
+from ..operators.shared import checkpointed, new_path
 from ..sources import logs
+from ..streaming.monitor import MonitorState
 from . import base
 from .base import query
 
@@ -177,7 +179,51 @@ def active_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.active_by_stage(trace(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (0, 1), (1, 1), (2, 1), (3, 2), (4, 2)) v(stage, workers)")
+@query("""
+    WITH g AS (SELECT s_suppkey, s_suppkey % 17 AS g, s_nationkey % 5 + 1 AS n FROM supplier)
+    SELECT s_suppkey, CAST(stage AS INTEGER) AS stage, CASE WHEN g < n THEN 1 ELSE g // n + CASE WHEN stage >= n - g % n THEN 1 ELSE 0 END END AS workers
+    FROM (SELECT *, unnest(range(n)) AS stage FROM g)""")
 def worker_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven workers for five stages, from the rule that shares what is left."""
-    return spark.createDataFrame(list(enumerate(stages.worker_allocation(7, 5, 1.0))), "stage int, workers int")
+    """The workers of the stages of each supplier: up to sixteen for one to five stages."""
+    s = base.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 17).alias("g"), (F.col("s_nationkey") % 5 + 1).cast("int").alias("n"))
+    return stages.with_workers(s, F.col("g"), F.col("n")).select("s_suppkey", "stage", "workers")
+
+
+@query(_T + """, x AS (SELECT stage, count(*) AS n, sum(en - st) AS busy FROM k GROUP BY 1), m AS (SELECT max(busy / n) AS most FROM x)
+    SELECT stage, round(busy / n, 6) AS mean_s, repeat('█', CAST(floor(busy / n / most * 30) AS INTEGER)) AS bar FROM x, m""")
+def timeline_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean durations of stages beside the longest one."""
+    t = tasks(spark, sf_dir).withColumn("took", F.col("end") - F.col("start"))
+    return traces.timeline(t.groupBy("stage").agg(F.avg("took").alias("mean_s")), "stage", {"mean_s": None}).select("stage", F.round("mean_s", 6).alias("mean_s"), F.col("mean_s_bar").alias("bar"))
+
+
+@query("""
+    WITH s AS (SELECT o_orderkey AS seq, (o_orderkey % 101) / 100.0::DOUBLE AS gpu_util_ratio, o_totalprice AS pipeline_speedup FROM orders), m AS (SELECT max(pipeline_speedup) AS most FROM s)
+    SELECT seq, repeat('█', CAST(floor(gpu_util_ratio * 30) AS INTEGER)) || repeat('░', 30 - CAST(floor(gpu_util_ratio * 30) AS INTEGER)) AS used, repeat('█', CAST(floor(pipeline_speedup / most * 30) AS INTEGER)) AS speedup FROM s, m""")
+def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an efficiency log as bars: a share of one fills its bar up, a speedup stands beside the largest."""
+    o = base.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), ((F.col("o_orderkey") % 101) / 100.0).alias("gpu_util_ratio"), F.col("o_totalprice").cast("double").alias("pipeline_speedup"))
+    found = traces.timeline(o, "seq", {"gpu_util_ratio": 1.0, "pipeline_speedup": None})
+    return found.select("seq", F.col("gpu_util_ratio_bar").alias("used"), F.col("pipeline_speedup_bar").alias("speedup"))
+
+
+_BATCHED = _T + """, z AS (SELECT count(*) AS n FROM t), b AS (SELECT unnest([0, 1, 2]) AS batch),
+    kb AS (SELECT b.batch, k.* FROM k, b, z WHERE seq < (batch + 1) * n // 3),
+    tt AS (SELECT batch, min(st) AS t0, max(en) AS t1, count(*) AS completed, count(DISTINCT trial) AS trials, sum(en - st) AS busy, sum(en - st) FILTER (trial = 0) AS base FROM kb GROUP BY 1),
+    x AS (SELECT kb.batch, ceil((st - t0) / 50.0) AS a, ceil((en - t0) / 50.0) AS o, floor((t1 - t0) / 50.0) AS last FROM kb JOIN tt USING (batch)),
+    av AS (SELECT batch, sum(least(o, last + 1) - a) / max(last + 1) AS avg_concurrent FROM x GROUP BY 1),
+    ch AS (SELECT batch, pt, sum(d) AS d FROM (SELECT batch, a AS pt, 1 AS d, last FROM x UNION ALL SELECT batch, o, -1, last FROM x) WHERE pt <= last GROUP BY 1, 2),
+    mx AS (SELECT batch, CAST(max(running) AS BIGINT) AS max_concurrent FROM (SELECT batch, sum(d) OVER (PARTITION BY batch ORDER BY pt) AS running FROM ch) GROUP BY 1)"""
+
+
+@query(_BATCHED + " SELECT batch, completed, trials, round(busy, 6) AS busy_s, round(avg_concurrent, 6) AS avg_concurrent, max_concurrent, round(base * trials / (t1 - t0), 6) AS speedup FROM tt JOIN av USING (batch) JOIN mx USING (batch)")
+def monitor_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monitor's measures after each of three batches of a trace, each from its own rows and the state before."""
+    held = checkpointed(trace(spark, sf_dir))
+    n = base.table(spark, sf_dir, "events").count()
+    state, out = MonitorState(spark, new_path(spark, "monitor"), 50.0), []
+    for batch in range(3):
+        state.advance(batch, held.filter((F.col("seq") >= batch * n // 3) & (F.col("seq") < (batch + 1) * n // 3)))
+        m = state.measures(batch, 3).withColumn("batch", F.lit(batch))
+        out.append(m.select("batch", F.col("num_completed_tasks").alias("completed"), "trials", *[F.round(c, 6).alias(c) for c in ("busy_s", "avg_concurrent")], "max_concurrent", F.round("speedup", 6).alias("speedup")))
+    return out[0].unionByName(out[1]).unionByName(out[2])

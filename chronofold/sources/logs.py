@@ -110,8 +110,8 @@ def parse_seed_times(lines: DataFrame) -> DataFrame:
 
 
 def official_result(results: DataFrame) -> DataFrame:
-    """mrr and recall from the top level or from metrics. results: mrr, recall_at_10, metrics."""
-    return results.select(F.coalesce("mrr", "metrics.mrr").alias("mrr"), F.coalesce("recall_at_10", "metrics.recall_at_10").alias("recall_at_10"))
+    """results (mrr, recall_at_10, metrics, ...) with mrr and recall from the top level or, where there are none, from metrics."""
+    return results.withColumns({c: F.coalesce(c, f"metrics.{c}") for c in ("mrr", "recall_at_10")}).drop("metrics")
 
 
 def report_sections(lines: DataFrame) -> DataFrame:
