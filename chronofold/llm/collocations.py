@@ -37,6 +37,8 @@ UNKNOWN = "und"
 LEAST, SHARE, FIRST = 30, 80, 2000
 #: Bytes of text whose rows are counted together before they are shuffled.
 CHUNK_BYTES = 1 << 20
+#: Phrases whose bytes are gathered together.
+PHRASES_AT_ONCE = 1 << 14
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _BLANKS = b" \t"
@@ -73,11 +75,16 @@ class Pieces:
     def hashes(self, first: np.ndarray, n: int, lang: np.uint64) -> np.ndarray:
         return mixed(spans_hash(self.running, self.starts[first], self.ends[first + n - 1], "byte") ^ lang)
 
-    def phrases(self, first: np.ndarray, n: int) -> pa.Array:
-        a, b = self.starts[first], self.ends[first + n - 1]
-        offsets = np.concatenate(([0], np.cumsum(b - a)))
-        data = self.canon[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
-        return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    def phrases(self, first: np.ndarray, n: int) -> pa.ChunkedArray:
+        """The phrases from some words on, put together PHRASES_AT_ONCE at a time."""
+        chunks = []
+        for k in range(0, len(first), PHRASES_AT_ONCE):
+            some = first[k : k + PHRASES_AT_ONCE]
+            a, b = self.starts[some], self.ends[some + n - 1]
+            offsets = np.concatenate(([0], np.cumsum(b - a)))
+            data = self.canon[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
+            chunks.append(pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]))
+        return pa.chunked_array(chunks, pa.large_binary())
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:

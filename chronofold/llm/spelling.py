@@ -86,8 +86,8 @@ class Trie:
     def _follow(self, node: int, word: bytes, i: int) -> int:
         """The node that the letters of word from i on lead to, -1 for none."""
         labels, first = self.labels, self.first
-        for letter in word[i:] if i else word:
-            node = labels.find(letter, first[node], first[node + 1])
+        for k in range(i, len(word)):
+            node = labels.find(word[k], first[node], first[node + 1])
             if node < 0:
                 return -1
         return node
@@ -98,7 +98,8 @@ class Trie:
         found: dict[bytes, int] = {}
         node, end = 0, len(word)
         for i in range(end + 1):  # node is where the first i letters lead
-            if i < end and (at := follow(node, word, i + 1)) > 0 and count[at]:
+            # of a run of equal letters the first one goes, and one more is put in behind it
+            if i < end and (i == 0 or word[i] != word[i - 1]) and (at := follow(node, word, i + 1)) > 0 and count[at]:
                 found[word[:i] + word[i + 1 :]] = count[at]
             low, high = first[node], first[node + 1]
             own, after = (word[i] if i < end else -1), (word[i + 1] if i + 1 < end else -1)
@@ -109,16 +110,17 @@ class Trie:
                     if count[child]:
                         found[word + labels[child : child + 1]] = count[child]
                     continue
+                if labels[child] == own:
+                    continue
                 if a < b and (at := labels.find(own, a, b)) >= 0 and (at := follow(at, word, i + 1)) >= 0 and count[at]:
                     found[word[:i] + labels[child : child + 1] + word[i:]] = count[at]
                 # or it stands in the place of letter i
-                if labels[child] != own:
-                    if after < 0:
-                        at = child
-                    elif a == b or (at := labels.find(after, a, b)) < 0 or (at := follow(at, word, i + 2)) < 0:
-                        continue
-                    if count[at]:
-                        found[word[:i] + labels[child : child + 1] + word[i + 1 :]] = count[at]
+                if after < 0:
+                    at = child
+                elif a == b or (at := labels.find(after, a, b)) < 0 or (at := follow(at, word, i + 2)) < 0:
+                    continue
+                if count[at]:
+                    found[word[:i] + labels[child : child + 1] + word[i + 1 :]] = count[at]
             if i < end and (node := labels.find(own, low, high)) < 0:
                 break
         return found
