@@ -4,13 +4,15 @@ Every phrase of 1 to ``max_n`` words becomes a row and is counted by language; a
 the two parts of every cut, scored in decimal arithmetic, dropped if a one-word extension has most of its occurrences
 (an anti join), and ranked in a window.
 
-A phrase cannot occur more often than a phrase inside it. So n-grams are exploded length by length, and one of which the
-first or last n - 1 words are rarer than ``least`` gives no row: it can neither be a candidate nor a part or an extension
-of one. The frequent phrases of a length are looked up in a bitmap of their hashes, 128 MB at most, which lets some
-others through and none out; counts are taken on the phrases themselves. By the same argument a longer candidate with a
-share of another's occurrences implies an extension of one word with at least that share.
-
-At scale: one scan of the documents a length. The rows of a megabyte of text are counted before they are shuffled, so a
+A phrase cannot occur more often than a phrase inside it. So hashes of n-grams are counted length by length first, without
+those of which the first or last n - 1 words are rarer than ``least``; what is counted as text afterwards, by language, are
+the n-grams whose hash is frequent enough. Others can neither be a candidate nor a part or an extension of one. Frequent
+hashes are looked up in a bitmap, 128 MB at most, which lets some others through and none out; counts are taken on the
+phrases themselves. By the same argument a longer candidate with a share of another's occurrences implies an extension of
+one word with at least that share.
+
+At scale: one scan of the documents for words, one for the hashes of each length and one for phrases; rare n-grams, nearly
+all, are shuffled as 16 bytes and never as text. The rows of a megabyte of text are counted before they are shuffled, so a
 very frequent phrase sends one row for each; languages are ranked in slices of which each gives its first rows only.
 
 Edge cases: a null text is empty; a null language is ``und`` (as is the language of that name); rows that repeat an id
@@ -103,32 +105,54 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[
     yield from held.items()
 
 
-def counted(rows: DataFrame, n: int, held=None) -> DataFrame:
-    """(lang, phrase, a): phrases of n words and their occurrences. rows: lang, text (binary).
+def _among(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
 
-    held: a broadcast bitmap of the phrases of n - 1 words that are frequent enough; others lead to no row.
+def counted_hashes(rows: DataFrame, n: int, held, least: int) -> DataFrame:
+    """(anchor): the hashes of language and phrase of n words that occur at least so often. rows: lang, text (binary).
+
+    held: a broadcast bitmap of such hashes of n - 1 words; a phrase with others in it leads to no row. Hashes that
+    clash add up, so no phrase that is frequent enough is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_language(batches):
-            words = Pieces(texts)
+            words, code = Pieces(texts), language_hash(lang)
             first = words.firsts(n)
-            if held is not None:
-                bits = held.value
-                at = (words.hashes(np.arange(len(words.starts) - n + 2), n - 1, language_hash(lang)) if len(first) else np.zeros(0, np.uint64)) & np.uint64(8 * len(bits) - 1)
-                there = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                first = first[there[first] & there[first + 1]]
             if len(first):
-                found = words.phrases(first, n).value_counts()
-                counts = found.field("counts")
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), found.field("values").cast(pa.binary()), counts], names=["lang", "phrase", "a"])
+                there = _among(words.hashes(np.arange(len(words.starts) - n + 2), n - 1, code), held.value)
+                values, counts = np.unique(words.hashes(first[there[first] & there[first + 1]], n, code), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["anchor", "a"])
+
+    found = rows.mapInArrow(run, "anchor long, a long").groupBy("anchor").agg(F.sum("a").alias("a"))
+    return found.filter(F.col("a") >= least).select("anchor")
+
+
+def counted(rows: DataFrame, lengths: list[int], held=None) -> DataFrame:
+    """(lang, phrase, a): phrases of these numbers of words and their occurrences. rows: lang, text (binary).
+
+    held: a broadcast bitmap of the hashes of the phrases that are wanted; most others lead to no row. None: all are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _by_language(batches):
+            words = Pieces(texts)
+            for n in lengths:
+                first = words.firsts(n)
+                if held is not None:
+                    first = first[_among(words.hashes(first, n, language_hash(lang)), held.value)]
+                if len(first):
+                    found = words.phrases(first, n).value_counts()
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), found.field("values").cast(pa.binary()), found.field("counts")], names=["lang", "phrase", "a"])
 
     found = rows.mapInArrow(run, "lang string, phrase binary, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     return found.select("lang", F.col("phrase").cast("string").alias("phrase"), "a")
 
 
-def phrase_bits(counts: DataFrame):
-    """The broadcast bitmap of the phrases of a stored table."""
+def word_hashes(words: DataFrame) -> DataFrame:
+    """(anchor): the hashes of language and word of a stored table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +165,7 @@ def phrase_bits(counts: DataFrame):
             hashes = mixed(spans_hash(running, np.r_[0, ends[:-1]], ends, "byte") ^ langs)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["anchor"])
 
-    return anchor_bits(stored(counts.select("lang", "phrase").mapInArrow(run, "anchor long"), "phrase-hashes"))
+    return words.select("lang", "phrase").mapInArrow(run, "anchor long")
 
 
 def scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -165,16 +189,18 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = LEAST, share: int
     """lang, rank, phrase, a, l, r, n, score of the first phrases of each language."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
     rows = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    words = stored(counted(rows, 1), "words")
+    words = stored(counted(rows, [1]), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    levels = [words.filter(F.col("a") >= least)]
+    often = words.filter(F.col("a") >= least)
+    hashes, bits = [], anchor_bits(stored(word_hashes(often), "word-hashes"))
     for n in range(2, max_n + 1):
-        levels.append(stored(counted(rows, n, phrase_bits(levels[-1])).filter(F.col("a") >= least), f"phrases-{n}"))
-    counts = reduce(DataFrame.unionByName, levels)
-    candidates = reduce(DataFrame.unionByName, levels[1:])
-    longer = extensions(reduce(DataFrame.unionByName, levels[2:])) if max_n > 2 else None
-    kept = scored(candidates, counts)
-    if longer is not None:
+        hashes.append(stored(counted_hashes(rows, n, bits, least), f"phrase-hashes-{n}"))
+        bits = anchor_bits(hashes[-1])
+    bits = anchor_bits(reduce(DataFrame.unionByName, hashes))
+    candidates = stored(counted(rows, list(range(2, max_n + 1)), bits).filter(F.col("a") >= least), "phrases")
+    kept = scored(candidates, often.unionByName(candidates))
+    if max_n > 2:
+        longer = extensions(candidates.filter(F.size(F.split("phrase", " ")) > 2))
         covers = longer.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), "longer")
         inside = (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_phrase"))
         exact = lambda c: F.col(c).cast("decimal(19, 0)")
