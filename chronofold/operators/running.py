@@ -20,7 +20,7 @@ from .shared import checkpointed
 def sliced(df: DataFrame, key: Column, descending: bool = False) -> DataFrame:
     """Adds _slice, which never decreases along key: nulls first and NaN last, the other way round if descending.
 
-    Rows of equal key share a slice, so a key should tell most rows apart.
+    Rows of equal key share a slice, so a key should tell most rows apart; sliced_by takes further columns.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = checkpointed(df.withColumn("_key", key.cast("double")))
@@ -34,6 +34,16 @@ def sliced(df: DataFrame, key: Column, descending: bool = False) -> DataFrame:
     return rows.withColumn("_slice", -place if descending else place).drop("_key")
 
 
+def sliced_by(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Adds _slice, which never decreases along a whole order, so rows that tie in its first columns are many slices too.
+
+    Spark's range partitioning draws the bounds from a sample; the rows are checkpointed, so each keeps its slice. Only
+    rows that are equal in every column of the order share one.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+
+
 def running(
     rows: DataFrame, order: Sequence[Column | str], name: str, value: Column, fold: Callable[..., Column], join: Callable[[Column, Column], Column], by: Sequence[str] = ()
 ) -> DataFrame:

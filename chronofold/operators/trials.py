@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from .running import running_max, running_sum, sliced
+from .running import running_max, running_sum, sliced, sliced_by
 
 
 def order() -> list[Column]:
@@ -18,8 +18,11 @@ def order() -> list[Column]:
 
 
 def leaderboard(results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Adds rank from 1, within each group of by (such as the split that was scored)."""
-    ranked = running_sum(sliced(results, F.col("score"), descending=True), order(), "rank", F.lit(1), by or [])
+    """Adds rank from 1, within each group of by (such as the split that was scored).
+
+    Slices follow the whole order, so a board of many equal scores is no single task.
+    """
+    ranked = running_sum(sliced_by(results, order()), order(), "rank", F.lit(1), by or [])
     return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_slice")
 
 

@@ -326,6 +326,21 @@ def test_running_values_match_one_window(spark, descending):
     assert running.running_sum(running.sliced(d.limit(0), F.col("k")), order, "n", F.lit(1)).count() == 0
 
 
+def test_leaderboard_of_equal_scores_is_many_slices(spark):
+    """Two thirds of the scores are equal; nulls, NaN and rows that tie up to the trial are among them."""
+    rnd = random.Random(8)
+    odd = [None, float("nan"), float("inf"), 0.0, -0.0]
+    rows = [(i, rnd.choice("ab"), 0.5 if i % 3 else rnd.choice([*odd, rnd.random()]), rnd.randrange(40), rnd.choice([1.0, 2.0, None])) for i in range(900)]
+    d = spark.createDataFrame(rows, "trial long, family string, score double, params long, time_s double").repartition(5)
+    sizes = [r["count"] for r in running.sliced_by(d, trials.order()).groupBy("_slice").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 900 / 4
+    for by in ([], ["family"]):
+        want = d.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*trials.order()))).select("trial", "rank")
+        got = trials.leaderboard(d, by).select("trial", "rank")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert trials.leaderboard(d.limit(0)).count() == 0
+
+
 def test_following_key(spark):
     keys = random.Random(2).sample(range(1000), 70)
     d = running.sliced(spark.createDataFrame([(k,) for k in keys], "k long").repartition(3), F.col("k"))
