@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -14,6 +15,12 @@ WORDS_HELD = 400_000
 JOINED = 256
 #: Marks that end a plain word: with it they are two pieces for the tokenizer, whatever their number.
 MARKS = ".,!?;:*$&#%"
+#: Words that normalisation leaves as they are.
+LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: 1 for an ASCII letter, 2 for a mark.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 1
+_KINDS[list(MARKS.encode())] = 2
 
 
 @lru_cache(maxsize=2)
@@ -30,6 +37,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def words_of(texts: list[bytes]) -> list[list[bytes]]:
+    """The words of each text, fewer different ones than stand there: ASCII letters are small, and a mark after an ASCII
+    letter begins a word. The tokenizer does both itself, so the ids are those of the text.
+
+    A text keeps its capitals if it may hold a special token, whose letters count as they are, or a combining mark
+    (U+0300 to U+037F), which may be one sign with a small letter and not with the capital.
+    """
+    texts = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    kinds = _KINDS[data]
+    marks = np.flatnonzero((kinds[1:] == 2) & (kinds[:-1] == 1)) + 1
+    spaced = np.insert(data, marks, 32).tobytes()
+    bounds = np.cumsum([0, *map(len, texts)])
+    bounds = (bounds + np.searchsorted(marks, bounds)).tolist()  # a blank between two texts does no harm in either
+    return [spaced[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 class _Numbers(dict):
     """Words to numbers; a new word gets the next one."""
 
@@ -48,26 +72,42 @@ class WordEncoder:
 
     That holds for word_bpe_49k.json: white space is dropped, and neither its normalisation nor its merges cross it.
     Its pieces end with a token that ends in ``</w>``, by which the ids of joined words are told apart again.
+    When there are too many words, those that have come up again are kept, half of WORDS_HELD at most.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.tokenizer = tokenizer(path)
+        self.plain = Tokenizer(self.tokenizer.model)  # for words that need no normalisation
+        self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget()
+        self._clear()
 
-    def _forget(self) -> None:
+    def _clear(self) -> None:
         self.numbers = _Numbers()
         self.flat = np.zeros(1 << 20, "<u4")
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.lengths = np.zeros(1 << 18, np.int64)
+        self.starts, self.lengths, self.seen = (np.zeros(1 << 18, np.int64) for _ in range(3))
         self.used = 0
 
+    def _forget(self) -> None:
+        words, seen = list(self.numbers), self.seen[: len(self.numbers)]
+        kept = np.flatnonzero(seen > 1)
+        kept = kept[np.argsort(-seen[kept], kind="stable")[: WORDS_HELD // 2]]
+        lengths, seen = self.lengths[kept], seen[kept] // 2
+        ids = self.flat[ragged(self.starts[kept], lengths)]
+        self._clear()
+        for k in kept.tolist():
+            self.numbers[words[k]] = len(self.numbers)
+        self._remember(0, lengths, ids)
+        self.seen[: len(kept)] = seen
+
     def _remember(self, first: int, lengths: np.ndarray, ids: np.ndarray) -> None:
         last = first + len(lengths)
         while last > len(self.starts):
-            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.seen = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths, self.seen))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.lengths[first:last] = lengths
@@ -77,28 +117,30 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         first = len(self.numbers) - len(words)
-        texts = [w.decode() for w in words]
-        pieces = []  # of each plain word; 0 for one that has to be encoded by itself
-        for t in texts:
-            core = t.rstrip(MARKS)
-            pieces.append(1 + (len(core) < len(t)) if core.isalpha() else 0)
-        plain = [i for i, n in enumerate(pieces) if n]
-        groups = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]
+        texts = b" ".join(words).decode().split(" ")
+        # pieces of each plain word; 0 for one that has to be encoded by itself
+        pieces = [1 if t.isalpha() else 2 * t.rstrip(MARKS).isalpha() for t in texts]
+        latin = [bool(LATIN(t)) for t in texts]
+        groups = []
+        for encoder, some in ((self.plain, True), (self.tokenizer, False)):
+            plain = [i for i, n in enumerate(pieces) if n and latin[i] == some]
+            groups.append((encoder, [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]))
         alone = [i for i, n in enumerate(pieces) if not n]
         found: list[np.ndarray] = []
         lengths = np.zeros(len(words), np.int64)
         order: list[int] = []
-        joined = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, joined, strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum([pieces[i] for i in g])
-            if len(ends) != upto[-1]:  # a letter that lower case makes two signs of
-                alone += g
-                continue
-            lengths[g] = np.diff(ends[upto - 1], prepend=0)
-            found.append(ids)
-            order += g
+        for encoder, parts in groups:
+            joined = encoder.encode_batch_fast([" ".join([texts[i] for i in g]) for g in parts], add_special_tokens=False)
+            for g, e in zip(parts, joined, strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                upto = np.cumsum([pieces[i] for i in g])
+                if len(ends) != upto[-1]:  # a letter that lower case makes two signs of
+                    alone += g
+                    continue
+                lengths[g] = np.diff(ends[upto - 1], prepend=0)
+                found.append(ids)
+                order += g
         for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
             lengths[i] = len(e.ids)
             found.append(np.array(e.ids, "<u4"))
@@ -112,12 +154,13 @@ class WordEncoder:
         """Ids of each text (UTF-8) as unsigned 32-bit numbers, without special tokens."""
         if len(self.numbers) > WORDS_HELD:
             self._forget()
-        words = [t.split() for t in texts]
+        words = words_of(texts)
         counts = np.fromiter(map(len, words), np.int64, len(words))
         numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.numbers.new:
             self._learn(self.numbers.new)
             self.numbers.new = []
+        self.seen[: len(self.numbers)] += np.bincount(numbers, minlength=len(self.numbers))
         lengths = self.lengths[numbers]
         flat = self.flat[ragged(self.starts[numbers], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]

@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronofold.llm import best_fit_packing, chat, decontaminate, packed_ids, quality, registry, warc
-from chronofold.llm.tokens import public_path, tokenizer, word_encoder
+from chronofold.llm import best_fit_packing, chat, decontaminate, packed_ids, quality, registry, tokens, warc
+from chronofold.llm.tokens import WordEncoder, public_path, tokenizer, word_encoder
 
 from ..compare import assert_same
 from . import brute
@@ -175,6 +175,25 @@ def test_word_encoder_matches_the_tokenizer():
         assert e.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_words_are_learned_once_whatever_their_case_and_marks():
+    e = WordEncoder(public_path("word_bpe_49k.json"))
+    texts = ["Then then, THEN. then! x", ", then", "T\u0308 T. <|ENDOFTEXT|> Then,", "AT&T's, X'S. 'S a.B,c?! É, é. 3.D", "KÅ* \u212a\u0301\u212b"]
+    for text, ids in zip(texts, e.ids([t.encode() for t in texts[:2]]) + e.ids([t.encode() for t in texts[2:]]), strict=True):
+        assert e.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+    e = WordEncoder(public_path("word_bpe_49k.json"))
+    e.ids([t.encode() for t in texts[:2]])
+    assert sorted(e.numbers) == [b"!", b",", b".", b"then", b"x"]
+
+
+def test_words_that_come_up_again_are_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_HELD", 8)
+    e = WordEncoder(public_path("word_bpe_49k.json"))
+    for text in ("often often seldom always always always " + "rare ".join("abcdefgh"), "new", "often newer", "always other " * 9, "word " * 3):
+        assert e.tokenizer.encode(text, add_special_tokens=False).ids == e.ids([text.encode()])[0].tolist()
+        assert b"always" in e.numbers
+    assert b"often" in e.numbers and b"seldom" not in e.numbers
+
+
 def test_packed_ids(spark, sf_dir):
     enc = packed_ids.rank_encoding(public_path("byte_bpe_50k.tiktoken"))
     d = documents(spark, sf_dir)
