@@ -154,6 +154,16 @@ def test_rank_and_recall(spark, monkeypatch, most):
     assert ranking.true_ranks(preds.limit(0), items).count() == 0 and ranking.nearest(preds, items.limit(0), 2).count() == 0
 
 
+def test_preferences_store_no_events(spark, sf_dir, monkeypatch):
+    """Neither events on disk in between, nor all users of a type in one task."""
+    from chronofold.plans import ranks
+
+    kept = []
+    monkeypatch.setattr(ranks, "checkpointed", lambda df: kept.append(df) or df)
+    plan = ranks.synthetic_preference_join(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not kept and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
 def test_a_vector_is_measured_once_for_all_its_items(spark, monkeypatch):
     """Few vectors that are asked for many items: copies of vectors, equal distances, items that are not there."""
     rng = np.random.default_rng(5)
